@@ -54,9 +54,9 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a batch: first byte and length of each, and the n + 1 word offsets of the texts."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None):
-        """breaks: sorted further places where a word ends (none is needed at white space)."""
-        inside = ~_IS_SPACE[raw]
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE):
+        """between: for each byte value, whether it separates words."""
+        inside = ~between[raw]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         cuts = offsets[:-1]
