@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import source_mixing
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -32,6 +34,14 @@ def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shared import saved
+    from .source_mixing import mix, words
+
+    docs = saved(table(spark, sf_dir, "documents").select("doc_id", "source", words().alias("size")))
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_quality import assess
 
@@ -55,6 +65,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_bestfit_packing, op8_line_quality, op9_toxicity, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_bestfit_packing, op6_source_mixing, op8_line_quality, op9_toxicity, op10_language_id)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_source_mixing": source_mixing.SQL}
