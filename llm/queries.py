@@ -27,6 +27,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_jaccard import join
+
+    return join(table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bestfit_packing import pack
 
@@ -65,6 +71,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_bestfit_packing, op6_source_mixing, op8_line_quality, op9_toxicity, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_ngram_jaccard, op5_bestfit_packing, op6_source_mixing, op8_line_quality, op9_toxicity, op10_language_id)}
 
 SQL: dict[str, str] = {"op6_source_mixing": source_mixing.SQL}
