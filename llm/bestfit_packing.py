@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .shared import saved
 
 #: Distinct units whose ids a worker keeps.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 200_000
+MOST_BLOCKS = 2048
 
 
 class _Units(dict):
@@ -216,7 +217,15 @@ def _best_fit(left: np.ndarray, capacity: int, out: list) -> None:
 
 def place(parts: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to the pieces (doc_id, piece, start, length, ...); parts is read more than once, so save it."""
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    # ranks within a length: in blocks by a hash, so that a frequent length is no single task; at most capacity * MOST_BLOCKS counts
+    blocks = int(min(MOST_BLOCKS, max(64, parts.count() // 20_000)))
+    dealt = parts.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(blocks)).cast("int"))
+    found = dealt.groupBy("length", "block").agg(F.count("*").alias("n")).toArrow()
+    table = np.zeros((capacity + 1, blocks), np.int64)
+    length, block, n = (np.asarray(found.column(c).combine_chunks()) for c in ("length", "block", "n"))
+    table[length, block] = n
+    before = np.cumsum(table, 1) - table
+    counts = {int(k): int(table[k].sum()) for k in np.unique(length)}
     templates = plan(counts, capacity)
     # runs: pieces of one length, by rank, that one template takes; each sequence takes `per` of them
     runs: dict[int, list[tuple[int, int, int, list[int]]]] = {}
@@ -237,26 +246,20 @@ def place(parts: DataFrame, capacity: int = 2048) -> DataFrame:
     first, start, per = (np.array([r[k] for r in flat], np.int64) for k in (1, 2, 3))
     at = np.cumsum([0, *(r[3] for r in flat)])[:-1].astype(np.int64) if flat else np.zeros(0, np.int64)
     offs = np.array([x for r in flat for x in r[4]], np.int64)
-    table = parts.sparkSession.sparkContext.broadcast((key, first, start, per, at, offs))
-
-    # ranks within a length: in blocks by a hash, so that a frequent length is no single task
-    blocks = int(min(4096, max(64, sum(counts.values()) // 20_000)))
+    shipped = parts.sparkSession.sparkContext.broadcast((key, first, start, per, at, offs, before))
     within = W.partitionBy("length", "block").orderBy("doc_id", "piece", "start")
-    dealt = parts.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(blocks)))
-    per_block = dealt.groupBy("length", "block").agg(F.count("*").alias("n"))
-    before = per_block.select(F.col("length").alias("l2"), F.col("block").alias("b2"), (F.sum("n").over(W.partitionBy("length").orderBy("block")) - F.col("n")).alias("before"))
-    ranked = dealt.withColumn("nth", F.row_number().over(within) - 1)
-    ranked = ranked.join(before, (F.col("length") == F.col("l2")) & (F.col("block") == F.col("b2"))).withColumn("nth", F.col("nth") + F.col("before")).drop("l2", "b2", "block", "before")
+    ranked = dealt.withColumn("nth", F.row_number().over(within))
 
-    names = [c for c in ranked.columns if c != "nth"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.drop("nth").schema) + ", sequence_id long, offset long"
+    names = parts.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
 
     def fill(batches):
-        key, first, start, per, at, offs = table.value
+        key, first, start, per, at, offs, before = shipped.value
         for b in batches:
             if not b.num_rows:
                 continue
-            length, nth = (np.asarray(b.column(c), np.int64) for c in ("length", "nth"))
+            length, block, nth = (np.asarray(b.column(c), np.int64) for c in ("length", "block", "nth"))
+            nth += before[length, block] - 1
             k = np.searchsorted(key, (length << 48) + nth, "right") - 1
             sequence, slot = np.divmod(nth - first[k], per[k])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(start[k] + sequence), pa.array(offs[at[k] + slot])], [*names, "sequence_id", "offset"])

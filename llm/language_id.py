@@ -23,9 +23,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import hashed_rows
 from .textkernel import buffers, slices
 
 #: Training rows of each language at most; they are those with the smallest hash of the id.
@@ -143,9 +143,8 @@ def fit(texts: pa.Array, languages: list[str]) -> PPM:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> PPM:
     """Fits on at most rows_per_language rows of each language, chosen by a hash of the id."""
-    rows = docs.select(F.col(id_col).alias("d"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).isNotNull().alias("has")).filter("l IS NOT NULL AND has")
-    first = rows.withColumn("k", F.row_number().over(W.partitionBy("l").orderBy("h", "d"))).filter(F.col("k") <= rows_per_language)
-    ids = first.select("d", "l").distinct()
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), F.col(lang_col).alias("l"))
+    ids = hashed_rows(rows, "l", "d", rows_per_language)
     sample = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).join(F.broadcast(ids), ["d", "l"]).orderBy("l", "d").toArrow()
     texts = sample.column("t").combine_chunks()
     return fit(texts, sample.column("l").to_pylist())

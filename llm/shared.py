@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -56,6 +57,20 @@ def merged(df: DataFrame, make, size: int, dtype: str, combine, slices: int = 64
     return out
 
 
+def hashed_rows(df: DataFrame, key: str, id_col: str, rows: int) -> DataFrame:
+    """(id, key) of at most `rows` rows for each value of key, those with the smallest hashes of the id.
+
+    Counts by value (a label of a classifier: few values) give a bound on the hash that about twice as many rows meet, so only
+    these are ranked.
+    """
+    unit = F.pmod(F.xxhash64(id_col), F.lit(1 << 31)) / float(1 << 31)
+    bound = F.lit(1.0)
+    for value, n in df.filter(F.col(key).isNotNull()).groupBy(key).count().collect():
+        bound = F.when(F.col(key) == F.lit(value), F.lit((2.0 * rows + 100) / n)).otherwise(bound)
+    near = df.select(id_col, key).filter(F.col(key).isNotNull() & (unit <= bound))
+    return near.withColumn("__k", F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(id_col), id_col))).filter(F.col("__k") <= rows).drop("__k").distinct()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected graph: (node, component), component being the smallest node of its component.
 

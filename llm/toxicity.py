@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import hashed_rows
 from .textkernel import U64, Words, buffers, mix64, slices
 
 #: Training rows of each class at most; they are those with the smallest hash of the id.
@@ -271,10 +272,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, fold: np.ndarray) -> Scorer:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> Scorer:
     """Fits on at most rows_per_class labelled rows of each class, chosen by a hash of the id."""
     known = labels.select(F.col(id_col).alias("d"), F.col(label_col).cast("int").alias("y")).filter("d IS NOT NULL AND y IN (0, 1)").groupBy("d").agg(F.max("y").alias("y"))
-    ids = None
-    for y in (0, 1):
-        part = known.filter(F.col("y") == y).orderBy(F.xxhash64("d"), "d").limit(rows_per_class)
-        ids = part if ids is None else ids.union(part)
+    ids = hashed_rows(known, "y", "d", rows_per_class)
     sample = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).join(F.broadcast(ids), "d").withColumn("h", F.xxhash64("d")).orderBy("h", "d").toArrow()
     fold = np.asarray(sample.column("h").combine_chunks(), np.int64) & 1
     return fit(sample.column("t").combine_chunks().fill_null(""), np.asarray(sample.column("y").combine_chunks()), fold)
