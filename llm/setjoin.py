@@ -1,12 +1,13 @@
 """What the exact set-similarity joins share: an order of tokens by rarity, prefixes, candidate groups and a filter of ids.
 
 Sets are sorted arrays of 64-bit hashes.  Sets x and y link when ``percent * |x or y| <= 100 * |x and y|``; they then share at least
-``least_overlap(|x|)`` tokens, so in any order of the tokens their first ``prefix_length`` ones have one in common.  The order
+``least_overlap(|x|)`` tokens, so in any order of the tokens their first ``prefix_length`` ones have ``needed`` in common.  The order
 here is by rarity: counts of all tokens, in 2^20 cells by hash, give each cell a level, and within a level hashes decide.
 Frequent tokens come last, so passages that many sets share are in few prefixes.  Any order gives the same links; the
 cells only decide how many candidates are compared.
 
-Sets that share a prefix token are chained; connected chains are candidate groups.  No link leaves a group, so groups can be
+Sets with too few prefix tokens that any other set of a fitting size shares cannot link and leave.  The rest are chained along the
+tokens that they share, in order of size and broken where sizes differ too much; connected chains are candidate groups.  No link leaves a group, so groups can be
 compared one by one; large ones are dealt out in pairs of blocks of bounded size.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ CELL_BITS = 20
 #: Tokens at this level or above (over about 8 times the mean) are chained in salted parts.
 HOT_LEVEL = 5
 SALTS = 64
+#: Rounds in which sets with too few shared prefix tokens leave the candidates.
+PRUNINGS = 2
 #: Sets, and tokens, of one side of a block pair.
 BLOCK_SETS, BLOCK_TOKENS = 1000, 2_000_000
 FILTER_BITS = 25
@@ -38,8 +41,17 @@ def pair_overlap(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def needed(n: int) -> int:
+    """Prefix tokens that linked sets of this size share at least."""
+    return 1 + n // 8
+
+
+def _needed(n: Column) -> Column:
+    return 1 + F.floor(n / 8)
+
+
 def prefix_length(n: int, percent: int) -> int:
-    return n - least_overlap(n, percent) + 1 if n else 0
+    return min(n, n - least_overlap(n, percent) + needed(n))
 
 
 def levels(docs: DataFrame, tokens) -> np.ndarray:
@@ -76,19 +88,29 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
     return a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63)
 
 
-def candidate_groups(items: DataFrame) -> DataFrame:
-    """From (id, prefix): (id, group) of the ids that share a prefix token with another id."""
-    posts = items.select("id", F.explode("prefix").alias("token"))
+def candidate_groups(items: DataFrame, percent: int) -> DataFrame:
+    """From (id, n, prefix) of different sets: (id, group) of the ids that may link with another id."""
+    posts = items.select("id", "n", F.explode("prefix").alias("token"))
     hot = F.col("token").bitwiseAND(F.lit(1)) == 1
     posts = posts.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
-    chain = posts.withColumn("before", F.lag("id").over(W.partitionBy("token", "salt").orderBy("id")))
-    chain = chain.filter(F.col("before").isNotNull() | hot)
-    links = chain.filter(F.col("before") < F.col("id")).select(F.col("before").alias("a"), F.col("id").alias("b"))
-    both = saved(links.distinct().withColumn("token", F.lit(None).cast("long")).union(chain.filter(F.col("before").isNull() & hot).select(F.col("id").alias("a"), F.col("id").alias("b"), "token")))
-    heads = both.filter("token IS NOT NULL").groupBy("token").agg(F.min("a").alias("least"))
-    joined = both.filter("token IS NOT NULL").join(heads, "token").filter("least < a").select(F.col("least").alias("a"), F.col("a").alias("b"))
-    edges = both.filter("token IS NULL").select("a", "b").union(joined)
-    return components(edges, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("group"))
+    within = W.partitionBy("token", "salt").orderBy("n", "id")
+
+    def chained(rows: DataFrame) -> DataFrame:
+        """Postings whose list holds a neighbour of a size that can link, and that neighbour."""
+        near = rows.withColumn("before", F.lag("id").over(within)).withColumn("n0", F.lag("n").over(within)).withColumn("n1", F.lead("n").over(within))
+        down, up = F.coalesce(F.col("n") * percent <= F.col("n0") * 100, F.lit(False)), F.coalesce(F.col("n1") * percent <= F.col("n") * 100, F.lit(False))
+        return near.filter(down | up | hot).withColumn("before", F.when(down, F.col("before"))).drop("n0", "n1")
+
+    shared = saved(chained(posts))
+    for _ in range(PRUNINGS):
+        fit = shared.groupBy("id", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= _needed(F.col("n"))).select(F.col("id").alias("i"))
+        shared = saved(chained(shared.drop("before").join(fit, F.col("id") == F.col("i"), "left_semi")))
+    links = shared.filter("before IS NOT NULL").select(F.least("before", "id").alias("a"), F.greatest("before", "id").alias("b")).distinct()
+    # the salted parts of a hot token: each one's first posting joins the first of all
+    heads = shared.filter(hot & F.col("before").isNull())
+    least = heads.groupBy("token").agg(F.min("id").alias("least"))
+    joined = heads.join(least, "token").filter("least < id").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    return components(links.union(joined), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("group"))
 
 
 def blocks(members: DataFrame, order: str) -> DataFrame:
