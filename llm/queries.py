@@ -33,6 +33,14 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"), width=5, percent=80)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines removed, and length and crc32 of the text that stays."""
+    from .line_dedup import dedup
+
+    out = dedup(table(spark, sf_dir, "documents"), width=5, percent=80)
+    return out.select("doc_id", "n_lines_removed", F.length("text").cast("long").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bestfit_packing import pack
 
@@ -71,6 +79,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_ngram_jaccard, op5_bestfit_packing, op6_source_mixing, op8_line_quality, op9_toxicity, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_ngram_jaccard, op4_line_dedup, op5_bestfit_packing, op6_source_mixing, op8_line_quality, op9_toxicity, op10_language_id)}
 
 SQL: dict[str, str] = {"op6_source_mixing": source_mixing.SQL}
