@@ -27,12 +27,25 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_jaccard import join
 
     return join(table(spark, sf_dir, "documents"), width=5, percent=80)
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    out = extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines removed, and length and crc32 of the text that stays."""
     from .line_dedup import dedup
@@ -79,6 +92,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_ngram_jaccard, op4_line_dedup, op5_bestfit_packing, op6_source_mixing, op8_line_quality, op9_toxicity, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_jaccard, op3_html_extract, op4_line_dedup, op5_bestfit_packing, op6_source_mixing, op8_line_quality, op9_toxicity, op10_language_id)}
 
 SQL: dict[str, str] = {"op6_source_mixing": source_mixing.SQL}
