@@ -69,6 +69,14 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each licence line."""
+    from .license_scan import scan, train
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, train(docs)).select("doc_id", "line", "family", F.round("score", 6).alias("score"), F.round("share", 6).alias("share"))
+
+
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_quality import assess
 
@@ -92,6 +100,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_jaccard, op3_html_extract, op4_line_dedup, op5_bestfit_packing, op6_source_mixing, op8_line_quality, op9_toxicity, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_jaccard, op3_html_extract, op4_line_dedup, op5_bestfit_packing, op6_source_mixing, op7_license_scan, op8_line_quality, op9_toxicity, op10_language_id)}
 
 SQL: dict[str, str] = {"op6_source_mixing": source_mixing.SQL}
