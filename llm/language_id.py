@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import hashed_rows
 from .textkernel import buffers, slices
@@ -155,14 +156,21 @@ def has_letter(text: str | None) -> bool:
 
 
 def predict(docs: DataFrame, model: PPM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: lang_pred, score and bits_per_byte, the code length in that language."""
+    """Per document: doc_id, lang_pred, score and bits_per_byte, the code length in that language."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return annotate(d, model, "text").drop("text")
+
+
+def annotate(docs: DataFrame, model: PPM, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred, score and bits_per_byte, which replace columns of these names."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score", "bits_per_byte")
 
     def run(batches):
         ppm = shipped.value
         for batch in batches:
-            for b in slices(batch, "t"):
-                texts = b.column("t")
+            for b in slices(batch, text_col):
+                texts = b.column(text_col)
                 letters = np.array([has_letter(t) for t in texts.to_pylist()], bool)
                 n = len(texts)
                 if ppm.languages:
@@ -176,6 +184,7 @@ def predict(docs: DataFrame, model: PPM, id_col: str = "doc_id", text_col: str =
                     letters, least, score, name, size = np.zeros(n, bool), np.zeros(n), np.zeros(n), np.full(n, "und", object), np.ones(n)
                 name[~letters] = "und"
                 score = np.where(letters, score, 0.0)
-                yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(name, pa.string()), pa.array(score), pa.array(least / np.maximum(size, 1))], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(name, pa.string()), pa.array(score), pa.array(least / np.maximum(size, 1))], [*b.schema.names, "lang_pred", "score", "bits_per_byte"])
 
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
