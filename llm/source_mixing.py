@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import saved
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,13 +40,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], ramps: tuple[float, ..
     pick = lambda values: F.element_at(F.array(*map(F.lit, map(float, values))), (F.col("turn") + 1).cast("int"))
     t = sizes.withColumn("turn", turn).withColumn("weight", pick(weights)).withColumn("ramp", pick(ramps))
     t = t.withColumn("most", F.col("source_size") * F.lit(float(limit)))
-    # sources in the order in which they reach their limits; the first that does not sets the level for the rest
+    # sources in the order in which they reach their limits: the level that the k-th one and all later ones would get rises up to
+    # the first source that stays under its limit and falls after it
     up = W.orderBy(F.col("most") / F.col("weight"), "key")
     t = t.withColumn("sum_most", F.sum("most").over(up.rowsBetween(W.unboundedPreceding, -1))).withColumn("sum_weight", F.sum("weight").over(up.rowsBetween(W.currentRow, W.unboundedFollowing)))
     everything = W.partitionBy()
     level = (F.sum("source_size").over(everything) - F.coalesce("sum_most", F.lit(0.0))) / F.col("sum_weight")
     t = t.withColumn("level", F.when(level * F.col("weight") <= F.col("most"), level))
-    return t.withColumn("target", F.least("most", F.col("weight") * F.min("level").over(everything))).select("key", "source_size", "weight", "ramp", "target")
+    return t.withColumn("target", F.least("most", F.col("weight") * F.max("level").over(everything))).select("key", "source_size", "weight", "ramp", "target")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights: tuple[float, ...] = (1, 2, 3), ramps: tuple[float, ...] = (-0.5, 0.0, 0.5), limit: float = 3.0) -> DataFrame:
@@ -57,7 +60,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     own = ("source_size", "target", "taken", "copies")
     d = docs.drop(*own).withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("t"))).withColumn("__h", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
     d = d.withColumn("__block", F.shiftright(F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"), 17 - blocks.bit_length()))
-    sums = d.groupBy(F.col("__key").alias("key"), F.col("__block").alias("block")).agg(F.sum(size_col).alias("n"))
+    sums = saved(d.groupBy(F.col("__key").alias("key"), F.col("__block").alias("block")).agg(F.sum(size_col).alias("n")))
     by_source = targets(sums.groupBy("key").agg(F.sum("n").alias("source_size")), weights, ramps, limit)
     before = sums.withColumn("before", F.sum("n").over(W.partitionBy("key").orderBy("block")) - F.col("n")).drop("n").join(by_source, "key")
     within = W.partitionBy("__key", "__block").orderBy("__h", id_col, size_col).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -102,7 +105,7 @@ u AS (SELECT *, coalesce(sum(most) OVER (ORDER BY most / weight, encode(key) ROW
          sum(weight) OVER (ORDER BY most / weight, encode(key) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sum_weight,
          CAST(sum(source_size) OVER () AS DOUBLE) AS everything FROM w),
 v AS (SELECT *, CASE WHEN (everything - sum_most) / sum_weight * weight <= most THEN (everything - sum_most) / sum_weight END AS level FROM u),
-t AS (SELECT key, source_size, least(most, weight * min(level) OVER ()) AS target FROM v),
+t AS (SELECT key, source_size, least(most, weight * max(level) OVER ()) AS target FROM v),
 c AS (SELECT d.doc_id, d.size, t.source_size, t.target,
          CAST(sum(d.size) OVER (PARTITION BY d.key ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
       FROM d JOIN t USING (key))
