@@ -28,7 +28,7 @@ def generations(registrations: DataFrame) -> DataFrame:
 def silent_gaps(beats: DataFrame, timeout_seconds: int) -> DataFrame:
     """Heartbeats that came more than the timeout after the one before: (worker, id, gap_seconds)."""
     w = W.partitionBy("worker").orderBy("at", "id")
-    gap = F.timestamp_diff("SECOND", F.lag("at").over(w), F.col("at")) if hasattr(F, "timestamp_diff") else F.unix_timestamp("at") - F.unix_timestamp(F.lag("at").over(w))
+    gap = F.timestamp_diff("SECOND", F.lag("at").over(w), F.col("at"))
     return beats.withColumn("gap_seconds", gap).filter(F.col("gap_seconds") > timeout_seconds).select("worker", "id", "gap_seconds")
 
 
