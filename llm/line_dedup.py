@@ -22,9 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .setjoin import binary_sets, blocks, by_rarity, candidate_groups, id_filter, in_filter, least_overlap, levels, pair_overlap, prefix, signature, unpack_sets
+from .setjoin import binary_sets, blocks, by_rarity, candidate_groups, id_filter, in_filter, least_overlap, levels, pair_overlap, prefixes, signatures, unpack_sets
 from .shared import saved
-from .textkernel import U64, Words, buffers, distinct, mix64, slices, windows
+from .textkernel import U64, Words, buffers, distinct_flat, mix64, slices, windows
+
+#: Prefixes are longer by this part of a set, and linked sets share that much more of them.
+PART = 16
+#: Signatures that a task remembers.
+SENT = 1_000_000
 
 
 def line_windows(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,27 +107,35 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     level = context.broadcast(levels(d, all_tokens))
 
     def describe(batches):
+        # a set's prefix is sent once from each task, so that a line with many copies is not many postings
+        sent: set[int] = set()
         for batch in batches:
             for b in slices(batch, "t"):
                 h, at, by_text = line_windows(b, width)
                 full = np.flatnonzero(np.diff(at) > 0)
                 if not len(full):
                     continue
-                sets = distinct(h, np.append(at[full], at[-1]))
+                tokens, own = distinct_flat(h, np.append(at[full], at[-1]))
                 ids, lines = _where(b, by_text, full)
-                sig = [signature(s) for s in sets]
-                cut = [prefix(s, level.value, percent) for s in sets]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(c) for c in cut])]), pa.int32()), pa.array(np.concatenate(cut)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.int32()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[0] for s in sig], pa.int64()), pa.array([s[1] for s in sig], pa.int64()), lists], ["doc_id", "line", "n", "s1", "s2", "prefix"])
-
-    items = saved(d.mapInArrow(describe, "doc_id long, line int, n long, s1 long, s2 long, prefix array<long>"))
+                s1, s2 = signatures(tokens, own)
+                fresh = np.ones(len(full), bool)
+                for k, s in enumerate(s1.tolist()):
+                    if s in sent:
+                        fresh[k] = False
+                    elif len(sent) < SENT:
+                        sent.add(s)
+                cut, ends = prefixes(tokens, own, level.value, percent, PART)
+                size = np.where(fresh, np.diff(ends), 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(cut[np.repeat(fresh, np.diff(ends))]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.int32()), pa.array(np.diff(own)), pa.array(s1), pa.array(s2), lists], ["doc_id", "line", "n", "s1", "s2", "prefix"])
+
+    items = saved(d.mapInArrow(describe, "doc_id long, line int, n long, s1 long, s2 long, prefix array<long>"), sweep=True)
     own = F.struct("doc_id", "line")
-    first = saved(items.groupBy("s1", "s2", "n").agg(F.min(own).alias("first"), F.count("*").alias("rows")))
+    first = saved(items.groupBy("s1", "s2", "n").agg(F.min(own).alias("first"), F.count("*").alias("rows")), sweep=True)
+    ahead = items.join(first.filter("rows > 1").select("s1", "s2", "n", "first"), ["s1", "s2", "n"]).filter(own != F.col("first"))
+    copies = saved(ahead.select("doc_id", "line"), sweep=True)
     # candidates by the first half of the signature: two classes that share it only make a group larger
-    ahead = items.join(first.filter("rows > 1").select("s1", "s2", "n", "first"), ["s1", "s2", "n"]).filter(own != F.col("first")).select("doc_id", "line", "s1", "s2", "n")
-    copies = saved(ahead)
-    single = items.join(copies.select("doc_id", "line"), ["doc_id", "line"], "left_anti")
-    groups = candidate_groups(single.select(F.col("s1").alias("id"), "n", "prefix"), percent)
+    groups = candidate_groups(items.filter("size(prefix) > 0").select(F.col("s1").alias("id"), "n", "prefix"), percent, PART)
     classes = saved(first.join(groups, first["s1"] == groups["id"]).select("s1", "s2", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "group"))
     pairs = blocks(classes, "s1")
 
@@ -151,9 +164,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = later_matches(unpack_sets(table.column("tokens")), percent)
         return table.select(["s1", "s2", "n"]).take(pa.array(out, pa.int64()))
 
-    matched = saved(pairs.join(sets, ["doc_id", "line"]).groupBy("group", "pair").applyInArrow(compare, "s1 long, s2 long, n long").distinct())
+    matched = saved(pairs.join(sets, ["doc_id", "line"]).groupBy("group", "pair").applyInArrow(compare, "s1 long, s2 long, n long").distinct(), sweep=True)
     gone = first.join(matched, ["s1", "s2", "n"]).select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"))
-    return copies.select("doc_id", "line").union(gone).distinct()
+    return copies.union(gone).distinct()
 
 
 def _where(batch: pa.RecordBatch, by_text: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

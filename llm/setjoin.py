@@ -33,7 +33,7 @@ BLOCK_SETS, BLOCK_TOKENS = 1000, 2_000_000
 FILTER_BITS = 25
 
 
-def least_overlap(n: int, percent: int) -> int:
+def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
@@ -41,17 +41,14 @@ def pair_overlap(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def needed(n: int) -> int:
-    """Prefix tokens that linked sets of this size share at least."""
-    return 1 + n // 8
+def needed(n, part: int):
+    """Prefix tokens that linked sets of this size share at least: longer prefixes for smaller `part`, and fewer candidates."""
+    return 1 + n // part
 
 
-def _needed(n: Column) -> Column:
-    return 1 + F.floor(n / 8)
-
-
-def prefix_length(n: int, percent: int) -> int:
-    return min(n, n - least_overlap(n, percent) + needed(n))
+def prefix_length(n, percent: int, part: int):
+    """Of a number or an array of numbers of tokens."""
+    return np.minimum(n, n - least_overlap(n, percent) + needed(n, part))
 
 
 def levels(docs: DataFrame, tokens) -> np.ndarray:
@@ -74,13 +71,33 @@ def by_rarity(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
     return tokens[np.argsort(level[(tokens >> U64(64 - CELL_BITS)).astype(np.int64)], kind="stable")]
 
 
-def prefix(tokens: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+def prefix(tokens: np.ndarray, level: np.ndarray, percent: int, part: int) -> np.ndarray:
     """The prefix as signed numbers; the lowest bit tells whether the token is hot."""
     own = level[(tokens >> U64(64 - CELL_BITS)).astype(np.int64)]
-    at = np.argsort(own, kind="stable")[: prefix_length(len(tokens), percent)]
+    at = np.argsort(own, kind="stable")[: prefix_length(len(tokens), percent, part)]
     return ((tokens[at] & ~U64(1)) | (own[at] >= HOT_LEVEL).astype(U64)).view(np.int64)
 
 
+def prefixes(tokens: np.ndarray, offsets: np.ndarray, level: np.ndarray, percent: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefixes of many sets (distinct, sorted by hash) at once, and their offsets."""
+    n = np.diff(offsets)
+    own = level[(tokens >> U64(64 - CELL_BITS)).astype(np.int64)]
+    set_ = np.repeat(np.arange(len(n)), n)
+    at = np.argsort(set_ * 64 + own, kind="stable")
+    rank = np.arange(len(tokens)) - np.repeat(offsets[:-1], n)
+    size = prefix_length(n, percent, part)
+    at = at[rank < np.repeat(size, n)]
+    return ((tokens[at] & ~U64(1)) | (own[at] >= HOT_LEVEL).astype(U64)).view(np.int64), np.concatenate([[0], np.cumsum(size)])
+
+
+def signatures(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of many sets that are not empty."""
+    at = offsets[:-1]
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.add.reduceat(tokens, at).view(np.int64), np.bitwise_xor.reduceat(mix64(tokens + U64(0x632BE59BD9B4E019)), at).view(np.int64)
+
+
 def signature(tokens: np.ndarray) -> tuple[int, int]:
     """128 bits that equal sets share."""
     a = int(np.sum(tokens, dtype=U64))
@@ -88,8 +105,8 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
     return a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63)
 
 
-def candidate_groups(items: DataFrame, percent: int) -> DataFrame:
-    """From (id, n, prefix) of different sets: (id, group) of the ids that may link with another id."""
+def candidate_groups(items: DataFrame, percent: int, part: int) -> DataFrame:
+    """From (id, n, prefix) of sets: (id, group) of the ids that may link with another id.  Rows that repeat an id count once."""
     posts = items.select("id", "n", F.explode("prefix").alias("token"))
     hot = F.col("token").bitwiseAND(F.lit(1)) == 1
     posts = posts.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
@@ -101,10 +118,11 @@ def candidate_groups(items: DataFrame, percent: int) -> DataFrame:
         down, up = F.coalesce(F.col("n") * percent <= F.col("n0") * 100, F.lit(False)), F.coalesce(F.col("n1") * percent <= F.col("n") * 100, F.lit(False))
         return near.filter(down | up | hot).withColumn("before", F.when(down, F.col("before"))).drop("n0", "n1")
 
-    shared = saved(chained(posts))
+    again = F.lag("id").over(within).eqNullSafe(F.col("id"))
+    shared = saved(chained(posts.withColumn("again", again).filter("NOT again").drop("again")), sweep=True)
     for _ in range(PRUNINGS):
-        fit = shared.groupBy("id", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= _needed(F.col("n"))).select(F.col("id").alias("i"))
-        shared = saved(chained(shared.drop("before").join(fit, F.col("id") == F.col("i"), "left_semi")))
+        fit = shared.groupBy("id", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= 1 + F.floor(F.col("n") / part)).select(F.col("id").alias("i"))
+        shared = saved(chained(shared.drop("before").join(fit, F.col("id") == F.col("i"), "left_semi")), sweep=True)
     links = shared.filter("before IS NOT NULL").select(F.least("before", "id").alias("a"), F.greatest("before", "id").alias("b")).distinct()
     # the salted parts of a hot token: each one's first posting joins the first of all
     heads = shared.filter(hot & F.col("before").isNull())

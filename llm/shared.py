@@ -21,10 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows of df, written once as a table in the shared folder: it cuts the lineage and outlives lost executors."""
+def saved(df: DataFrame, sweep: bool = False) -> DataFrame:
+    """The rows of df, written once as a table in the shared folder: it cuts the lineage and outlives lost executors.
+
+    With sweep, the driver then collects its garbage, so that Spark deletes the shuffle files that led to the table.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if sweep:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

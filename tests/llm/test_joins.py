@@ -11,8 +11,9 @@ import numpy as np
 import pytest
 
 from llm import embedding_dedup, line_dedup, ngram_jaccard
-from llm.setjoin import by_rarity, prefix
+from llm.setjoin import by_rarity, needed, prefix, prefixes, signature, signatures
 from llm.shared import components
+from llm.textkernel import distinct_flat
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -89,11 +90,24 @@ def test_prefix_of_linked_sets_share_tokens():
     for n in (1, 4, 5, 9, 30, 200):
         x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) << np.uint64(1))
         cut = x[: math.ceil(0.8 * len(x))]
-        a, b = set(prefix(x, level, 80).tolist()), set(prefix(cut, level, 80).tolist())
-        assert len(a & b) >= 1 + len(cut) // 8 - 1 and a & b
+        a, b = set(prefix(x, level, 80, 8).tolist()), set(prefix(cut, level, 80, 8).tolist())
+        assert len(a & b) >= needed(len(cut), 8)
         assert sorted(by_rarity(x, level).tolist()) == x.tolist()
 
 
+def test_many_sets_at_once():
+    rng = np.random.default_rng(4)
+    level = rng.integers(0, 8, 1 << 20).astype(np.uint8)
+    raw = [rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) for n in (1, 3, 40, 7, 300)]
+    raw[2][5] = raw[2][6] = raw[2][5]
+    flat, at = distinct_flat(np.concatenate(raw), np.cumsum([0] + [len(x) for x in raw]))
+    sets = [np.unique(x) for x in raw]
+    assert flat.tolist() == np.concatenate(sets).tolist() and np.diff(at).tolist() == [len(s) for s in sets]
+    cut, ends = prefixes(flat, at, level, 80, 16)
+    assert [cut[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [prefix(s, level, 80, 16).tolist() for s in sets]
+    assert list(zip(*(x.tolist() for x in signatures(flat, at)), strict=True)) == [signature(s) for s in sets]
+
+
 def brute_lines(rows):
     lines = sorted({(i, k, line) for i, t in rows if t is not None for k, line in enumerate(t.split("\n"))})
     full = [(i, k, shingles(line)) for i, k, line in lines if len(words(line)) >= 5]
