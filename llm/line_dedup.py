@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .setjoin import binary_sets, blocks, by_rarity, candidate_groups, id_filter, in_filter, least_overlap, levels, pair_overlap, prefixes, signatures, unpack_sets
-from .shared import saved
+from .shared import discard, saved
 from .textkernel import U64, Words, buffers, distinct_flat, mix64, slices, windows
 
 #: Prefixes are longer by this part of a set, and linked sets share that much more of them.
@@ -137,6 +137,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # candidates by the first half of the signature: two classes that share it only make a group larger
     groups = candidate_groups(items.filter("size(prefix) > 0").select(F.col("s1").alias("id"), "n", "prefix"), percent, PART)
     classes = saved(first.join(groups, first["s1"] == groups["id"]).select("s1", "s2", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "group"))
+    discard(items)
     pairs = blocks(classes, "s1")
 
     def places(batches):

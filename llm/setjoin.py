@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import components, merged, saved
+from .shared import components, discard, merged, saved
 from .textkernel import U64, mix64
 
 CELL_BITS = 20
@@ -122,13 +122,16 @@ def candidate_groups(items: DataFrame, percent: int, part: int) -> DataFrame:
     shared = saved(chained(posts.withColumn("again", again).filter("NOT again").drop("again")), sweep=True)
     for _ in range(PRUNINGS):
         fit = shared.groupBy("id", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= 1 + F.floor(F.col("n") / part)).select(F.col("id").alias("i"))
-        shared = saved(chained(shared.drop("before").join(fit, F.col("id") == F.col("i"), "left_semi")), sweep=True)
+        wider, shared = shared, saved(chained(shared.drop("before").join(fit, F.col("id") == F.col("i"), "left_semi")), sweep=True)
+        discard(wider)
     links = shared.filter("before IS NOT NULL").select(F.least("before", "id").alias("a"), F.greatest("before", "id").alias("b")).distinct()
     # the salted parts of a hot token: each one's first posting joins the first of all
     heads = shared.filter(hot & F.col("before").isNull())
     least = heads.groupBy("token").agg(F.min("id").alias("least"))
     joined = heads.join(least, "token").filter("least < id").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    return components(links.union(joined), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("group"))
+    found = components(links.union(joined), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("group"))
+    discard(shared)
+    return found
 
 
 def blocks(members: DataFrame, order: str) -> DataFrame:

@@ -30,7 +30,17 @@ def saved(df: DataFrame, sweep: bool = False) -> DataFrame:
     df.write.parquet(path)
     if sweep:
         df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._saved_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes saved tables.  Only for those on which nothing depends any more but what is itself saved."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._saved_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def merged(df: DataFrame, make, size: int, dtype: str, combine, slices: int = 64) -> np.ndarray:
@@ -85,8 +95,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
     now = saved(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).distinct())
-    nodes = now.select("u").union(now.select("v")).distinct()
-    moves = []
+    nodes = saved(now.select("u").union(now.select("v")).distinct())
+    moves, now_table = [], now
     now = now.filter("u <> v")
     while not now.isEmpty():
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -95,7 +105,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         moves.append(least)
         left = now.join(least.withColumnRenamed("to", "tu"), "u").select("tu", "v")
         now = left.join(least.select(F.col("u").alias("v"), F.col("to").alias("tv")), "v").filter("tu <> tv").select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).distinct()
-        now = saved(now)
+        now, done = saved(now), now_table
+        discard(done)
+        now_table = now
     root = None
     for least in reversed(moves):
         if root is None:
