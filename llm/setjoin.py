@@ -42,7 +42,10 @@ def pair_overlap(n: int, m: int, percent: int) -> int:
 
 
 def needed(n, part: int):
-    """Prefix tokens that linked sets of this size share at least: longer prefixes for smaller `part`, and fewer candidates."""
+    """Prefix tokens that a set of this size shares at least with a linked set that is not smaller.
+
+    A smaller `part` makes prefixes longer and candidates fewer.  With a smaller partner, the partner's number counts.
+    """
     return 1 + n // part
 
 
@@ -119,9 +122,10 @@ def candidate_groups(items: DataFrame, percent: int, part: int) -> DataFrame:
         return near.filter(down | up | hot).withColumn("before", F.when(down, F.col("before"))).drop("n0", "n1")
 
     again = F.lag("id").over(within).eqNullSafe(F.col("id"))
+    # the smallest partner has percent of the tokens, and its number of shared prefix tokens
     shared = saved(chained(posts.withColumn("again", again).filter("NOT again").drop("again")), sweep=True)
     for _ in range(PRUNINGS):
-        fit = shared.groupBy("id", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= 1 + F.floor(F.col("n") / part)).select(F.col("id").alias("i"))
+        fit = shared.groupBy("id", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= 1 + F.floor(F.ceil(F.col("n") * percent / 100) / part)).select(F.col("id").alias("i"))
         wider, shared = shared, saved(chained(shared.drop("before").join(fit, F.col("id") == F.col("i"), "left_semi")), sweep=True)
         discard(wider)
     links = shared.filter("before IS NOT NULL").select(F.least("before", "id").alias("a"), F.greatest("before", "id").alias("b")).distinct()

@@ -161,3 +161,18 @@ def test_embedding_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "HOME_BLOCK", 7)
     monkeypatch.setattr(embedding_dedup, "VISIT_BLOCK", 11)
     test_embeddings(spark)
+
+
+def test_smaller_partner_is_not_pruned(spark):
+    """A set and a subset of four fifths of it: the subset's prefix has fewer tokens to share."""
+    from llm.setjoin import candidate_groups
+
+    rng = np.random.default_rng(9)
+    level = np.zeros(1 << 20, np.uint8)
+    rows = []
+    for k, n in enumerate((10, 25, 40, 80, 100, 161)):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) << np.uint64(1))
+        for j, s in enumerate((x, x[len(x) - math.ceil(0.8 * len(x)) :])):
+            rows.append((10 * k + j, len(s), prefix(s, level, 80, 8).tolist()))
+    got = {r.id: r.group for r in candidate_groups(spark.createDataFrame(rows, "id long, n long, prefix array<long>"), 80, 8).collect()}
+    assert got == {i: i // 10 * 10 for i, *_ in rows}
