@@ -86,3 +86,8 @@ def last_wins(keys: Column, values: Column) -> Column:
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
     unique = F.array_distinct(keys)
     return F.map_from_arrays(unique, F.transform(unique, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+
+
+def fenced(value: Column, holds: Column, message: str) -> Column:
+    """value, once the condition holds; where it does not the job ends, so nothing that depends on the value runs."""
+    return F.when(holds, value).otherwise(F.raise_error(F.lit(message)))

@@ -206,3 +206,37 @@ def i8_error_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
         return 100 // (size % 5)
 
     return T.table(spark, sf_dir, "part").withColumn("r", share(F.col("p_size"))).select("p_partkey", "r.value", "r.error_type")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderpriority")
+def a1_program_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program given as text: SQL over tables that are passed to it, not looked up by name."""
+    text = "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} GROUP BY o_orderpriority"
+    return spark.sql(text, orders=T.table(spark, sf_dir, "orders"))
+
+
+@query("SELECT r_regionkey AS x, r_regionkey + 1 AS y FROM region")
+def b1_name_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name reads its newest binding: x is bound twice, y is computed from the second."""
+    first = T.table(spark, sf_dir, "region").select((F.col("r_regionkey") * 10).alias("x"), "r_regionkey")
+    second = first.withColumn("x", F.col("r_regionkey"))
+    return second.select("x", (F.col("x") + 1).alias("y"))
+
+
+@query("SELECT p_partkey, (p_size + 1) * (p_size + 1) - p_size AS result FROM part")
+def c1_local_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = T.table(spark, sf_dir, "part").withColumn("a", F.col("p_size") + 1).withColumn("b", F.col("a") * F.col("a"))
+    return body.select("p_partkey", (F.col("b") - F.col("p_size")).alias("result"))
+
+
+@query("SELECT p_partkey, CAST((SELECT coalesce(sum(i), 0) FROM range(0, p_size) r(i) WHERE i % 3 <> 0) AS BIGINT) AS total FROM part")
+def c6_continue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = R.skip_where(P.int_range(F.lit(0).cast("long"), F.col("p_size").cast("long")), lambda i: i % 3 == 0)
+    return T.table(spark, sf_dir, "part").select("p_partkey", P.list_sum(left).alias("total"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / l_quantity AS unit FROM lineitem")
+def e5_completion_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A division that could fail: its check is part of the plan, and a failure ends the job."""
+    unit = P.fenced(P.true_div(F.col("l_extendedprice"), F.col("l_quantity")), F.col("l_quantity") != 0, "division by zero")
+    return T.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", unit.alias("unit"))
