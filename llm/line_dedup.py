@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .setjoin import binary_sets, blocks, by_rarity, candidate_groups, id_filter, in_filter, least_overlap, levels, pair_overlap, prefixes, signatures, unpack_sets
+from .setjoin import binary_sets, blocks, by_rarity, candidate_groups, id_filter, in_filter, least_overlap, levels, likely, pair_overlap, prefixes, signatures, unpack_sets
 from .shared import discard, saved
 from .textkernel import U64, Words, buffers, distinct_flat, mix64, slices, windows
 
@@ -136,7 +136,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = saved(ahead.select("doc_id", "line"), sweep=True)
     # candidates by the first half of the signature: two classes that share it only make a group larger
     groups = candidate_groups(items.filter("size(prefix) > 0").select(F.col("s1").alias("id"), "n", "prefix"), percent, PART)
-    classes = saved(first.join(groups, first["s1"] == groups["id"]).select("s1", "s2", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "group"))
+    groups = saved(groups)
+    known = likely(first.select("s1", "s2", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), "s1", groups.select("id"))
+    classes = saved(known.join(groups, F.col("s1") == F.col("id")).drop("id"))
     discard(items)
     pairs = blocks(classes, "s1")
 
@@ -163,11 +165,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("line", "ascending")])
         out = later_matches(unpack_sets(table.column("tokens")), percent)
-        return table.select(["s1", "s2", "n"]).take(pa.array(out, pa.int64()))
+        return table.select(["doc_id", "line"]).take(pa.array(out, pa.int64()))
 
-    matched = saved(pairs.join(sets, ["doc_id", "line"]).groupBy("group", "pair").applyInArrow(compare, "s1 long, s2 long, n long").distinct(), sweep=True)
-    gone = first.join(matched, ["s1", "s2", "n"]).select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"))
-    return copies.union(gone).distinct()
+    matched = saved(pairs.join(sets, ["doc_id", "line"]).groupBy("group", "pair").applyInArrow(compare, "doc_id long, line int").distinct(), sweep=True)
+    discard(first)
+    return copies.union(matched).distinct()
 
 
 def _where(batch: pa.RecordBatch, by_text: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ CELL_BITS = 20
 HOT_LEVEL = 5
 SALTS = 64
 #: Rounds in which sets with too few shared prefix tokens leave the candidates.
-PRUNINGS = 2
+PRUNINGS = 1
 #: Sets, and tokens, of one side of a block pair.
 BLOCK_SETS, BLOCK_TOKENS = 1000, 2_000_000
 FILTER_BITS = 25
@@ -125,8 +125,8 @@ def candidate_groups(items: DataFrame, percent: int, part: int) -> DataFrame:
     # the smallest partner has percent of the tokens, and its number of shared prefix tokens
     shared = saved(chained(posts.withColumn("again", again).filter("NOT again").drop("again")), sweep=True)
     for _ in range(PRUNINGS):
-        fit = shared.groupBy("id", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= 1 + F.floor(F.ceil(F.col("n") * percent / 100) / part)).select(F.col("id").alias("i"))
-        wider, shared = shared, saved(chained(shared.drop("before").join(fit, F.col("id") == F.col("i"), "left_semi")), sweep=True)
+        fit = shared.groupBy("id", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= 1 + F.floor(F.ceil(F.col("n") * percent / 100) / part))
+        wider, shared = shared, saved(chained(likely(shared.drop("before"), "id", fit.select("id"))), sweep=True)
         discard(wider)
     links = shared.filter("before IS NOT NULL").select(F.least("before", "id").alias("a"), F.greatest("before", "id").alias("b")).distinct()
     # the salted parts of a hot token: each one's first posting joins the first of all
@@ -175,6 +175,17 @@ def in_filter(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (packed[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
 
 
+def likely(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """rows whose column is among ids (id), and a few others: nothing is shuffled but the bitmap."""
+    kept = rows.sparkSession.sparkContext.broadcast(id_filter(ids))
+
+    def keep(batches):
+        for b in batches:
+            yield b.filter(pa.array(in_filter(kept.value, np.asarray(b.column(column).fill_null(0), np.int64))))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
 def binary_sets(sets: list[np.ndarray]) -> pa.Array:
     return pa.array([s.tobytes() for s in sets], pa.binary())
 
