@@ -27,7 +27,7 @@ from .shared import hashed_rows
 from .textkernel import U64, Words, buffers, mix64, slices
 
 #: Training rows of each class at most; they are those with the smallest hash of the id.
-ROWS_PER_CLASS = 3000
+ROWS_PER_CLASS = 2000
 # Common insults, and second-person pronouns, in four languages.
 INSULTS = "arschloch bastard bitch clown connard cretin cunt dickhead disgusting dumb dummkopf estúpido fuck garbage hijueputa idiot idiota idioten imbécile imbécil jerk loser merde mierda moron pathetic puta salope scheiße scum shit stupid stupide trash tonto ugly whore worthless wichser".split()
 PRONOUNS = "du dich dein dir euch ihr sie te ti toi ton tu tus tuyo usted ustedes vos votre vosotros vous you your yours youre yourself u".split()
