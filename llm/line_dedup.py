@@ -28,6 +28,8 @@ from .textkernel import U64, Words, buffers, distinct_flat, mix64, slices, windo
 
 #: Prefixes are longer by this part of a set, and linked sets share that much more of them.
 PART = 16
+#: Bytes of removed line numbers that are sent to all tasks at most.
+MOST_BROADCAST = 32 << 20
 #: Signatures that a task remembers.
 SENT = 1_000_000
 
@@ -181,6 +183,12 @@ def _where(batch: pa.RecordBatch, by_text: np.ndarray, lines: np.ndarray) -> tup
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """docs with the repeated lines taken out of their texts, and n_lines_removed (it replaces a column of that name)."""
     gone = saved(repeated_lines(docs, id_col, text_col, width, percent).groupBy(F.col("doc_id").alias("__d")).agg(F.array_sort(F.collect_list("line")).alias("__gone")))
+    base = docs.drop("n_lines_removed")
+    own = F.col(id_col).cast("long") == F.col("__d")
+    size = gone.agg(F.sum(24 + 4 * F.size("__gone"))).first()[0] or 0
+    if size <= MOST_BROADCAST:
+        return _without_lines(base.join(F.broadcast(gone), own, "left"), text_col)
+    # too much to send to all: only texts that may lose lines are shuffled to meet them
     hit = docs.sparkSession.sparkContext.broadcast(id_filter(gone.select(F.col("__d").alias("id"))))
 
     @F.pandas_udf("boolean")
@@ -189,11 +197,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
 
         return pd.Series(in_filter(hit.value, ids.fillna(0).to_numpy(np.int64)))
 
-    base = docs.drop("n_lines_removed").withColumn("__maybe", maybe(F.col(id_col).cast("long")))
+    base = base.withColumn("__maybe", maybe(F.col(id_col).cast("long")))
     same = base.filter(~F.col("__maybe")).drop("__maybe").withColumn("n_lines_removed", F.lit(0).cast("long"))
-    some = base.filter("__maybe").drop("__maybe").join(gone, F.col(id_col).cast("long") == F.col("__d"), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    some = some.withColumn("n_lines_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    some = some.withColumn(text_col, F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))).drop("__d", "__gone")
-    return same.unionByName(some.select(*same.columns))
+    some = _without_lines(base.filter("__maybe").drop("__maybe").join(gone, own, "left"), text_col)
+    return same.unionByName(some)
+
+
+def _without_lines(joined: DataFrame, text_col: str) -> DataFrame:
+    """Takes the lines numbered in __gone out of the texts."""
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
+    out = joined.withColumn("n_lines_removed", F.when(F.col("__gone").isNotNull(), F.size("__gone")).otherwise(0).cast("long"))
+    return out.withColumn(text_col, F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))).drop("__d", "__gone")

@@ -128,6 +128,11 @@ def test_line_dedup(docs, rows):
     assert got == sorted(expected, key=repr)
 
 
+def test_line_dedup_when_much_is_removed(docs, rows, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", -1)
+    test_line_dedup(docs, rows)
+
+
 def test_line_dedup_empty(nothing):
     assert line_dedup.dedup(nothing).collect() == []
 
