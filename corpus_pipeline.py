@@ -28,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that match an earlier one; documents of which no word is left go."""
-    out = line_dedup.dedup(docs, width=5, percent=80)
+    out = line_dedup.dedup(docs, width=5, percent=80, short=True)
     left = (F.col("n_lines_removed") == 0) | F.col("text").rlike(source_mixing.WORDS)
     return out.filter(left).withColumn("n_chars", F.when(F.col("n_lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 

@@ -1,7 +1,8 @@
 """Line dedup by an exact set-similarity join with prefix, positional and length filters.
 
-Documents are split into lines at ``\\n``.  A line's tokens are its distinct runs of ``width`` words (A-Z in lower case); a line of
-fewer words has no token and is kept.  Two lines match when the Jaccard similarity of their token sets is at least ``percent`` /
+Documents are split into lines at ``\\n``.  A line's tokens are its distinct runs of ``width`` words (A-Z in lower case).  With
+``short``, the one token of a line of fewer words is its whole sequence, so it matches lines of equal words only; without, such a
+line has no token and is kept, as is always a line without a word.  Two lines match when the Jaccard similarity of their token sets is at least ``percent`` /
 100.  In the order of (document id, line number), a line is removed if an earlier line of any document matches it, whether that
 one is itself removed or not.
 
@@ -34,8 +35,8 @@ MOST_BROADCAST = 32 << 20
 SENT = 1_000_000
 
 
-def line_windows(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of all lines with at least width words, their offsets by line, and the lines' offsets by text."""
+def line_windows(batch: pa.RecordBatch, width: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes of all lines with at least width words (with whole, of all lines with words), their offsets by line, the lines' offsets by text, and whether a line has under width words."""
     raw, offsets = buffers(batch.column("t"))
     ends = np.flatnonzero(raw == 10) + 1
     # every text has one line at least, an empty one too
@@ -50,11 +51,11 @@ def line_windows(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndar
     at = np.searchsorted(words.start, np.append(begin, len(raw)))
     h, out = windows(words.hashes(), at, width)
     short = np.diff(at) < width
-    if short.any():
+    if short.any() and not whole:
         keep = np.repeat(~short, np.diff(out))
         size = np.where(short, 0, np.diff(out))
         h, out = h[keep], np.concatenate([[0], np.cumsum(size)])
-    return h, out, by_text
+    return h, out, by_text, short
 
 
 def _place(ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
@@ -97,7 +98,7 @@ def later_matches(sets: list[np.ndarray], percent: int) -> list[int]:
     return out
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, short: bool = False) -> DataFrame:
     """(doc_id, line) of the lines to remove; lines count from 0."""
     d = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     context = docs.sparkSession.sparkContext
@@ -113,15 +114,18 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sent: set[int] = set()
         for batch in batches:
             for b in slices(batch, "t"):
-                h, at, by_text = line_windows(b, width)
+                h, at, by_text, few = line_windows(b, width, short)
                 full = np.flatnonzero(np.diff(at) > 0)
                 if not len(full):
                     continue
                 tokens, own = distinct_flat(h, np.append(at[full], at[-1]))
                 ids, lines = _where(b, by_text, full)
                 s1, s2 = signatures(tokens, own)
-                fresh = np.ones(len(full), bool)
+                # only lines of equal words share the token of a short line, and these are one class: it needs no partner
+                fresh = ~few[full]
                 for k, s in enumerate(s1.tolist()):
+                    if not fresh[k]:
+                        continue
                     if s in sent:
                         fresh[k] = False
                     elif len(sent) < SENT:
@@ -153,7 +157,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def fetch(batches):
         for batch in batches:
             for b in slices(batch, "t"):
-                h, at, by_text = line_windows(b, width)
+                h, at, by_text, _ = line_windows(b, width)
                 full = np.flatnonzero(np.diff(at) > 0)
                 if not len(full):
                     continue
@@ -180,9 +184,9 @@ def _where(batch: pa.RecordBatch, by_text: np.ndarray, lines: np.ndarray) -> tup
     return np.asarray(batch.column("d"), np.int64)[text], lines - by_text[text]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, short: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of their texts, and n_lines_removed (it replaces a column of that name)."""
-    gone = saved(repeated_lines(docs, id_col, text_col, width, percent).groupBy(F.col("doc_id").alias("__d")).agg(F.array_sort(F.collect_list("line")).alias("__gone")))
+    gone = saved(repeated_lines(docs, id_col, text_col, width, percent, short).groupBy(F.col("doc_id").alias("__d")).agg(F.array_sort(F.collect_list("line")).alias("__gone")))
     base = docs.drop("n_lines_removed")
     own = F.col(id_col).cast("long") == F.col("__d")
     size = gone.agg(F.sum(24 + 4 * F.size("__gone"))).first()[0] or 0

@@ -50,7 +50,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines removed, and length and crc32 of the text that stays."""
     from .line_dedup import dedup
 
-    out = dedup(table(spark, sf_dir, "documents"), width=5, percent=80)
+    out = dedup(table(spark, sf_dir, "documents"), width=5, percent=80, short=True)
     return out.select("doc_id", "n_lines_removed", F.length("text").cast("long").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 

@@ -110,9 +110,11 @@ def windows(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     short = np.repeat((n > 0) & (n < k), count)
     h = np.zeros(out[-1], U64)
     h[~short] = sums[begin[~short]]
-    for t in np.flatnonzero((n > 0) & (n < k)):
-        part = words[offsets[t] : offsets[t + 1]]
-        h[out[t]] = np.append(part * _ODD[: len(part)], _ODD[40 + len(part) % 8]).sum(dtype=U64)
+    for size in range(1, k):
+        t = np.flatnonzero(n == size)
+        h[out[t]] = _ODD[40 + size % 8]
+        for j in range(size):
+            h[out[t]] += words[offsets[t] + j] * _ODD[j]
     return mix64(h), out
 
 

@@ -133,6 +133,22 @@ def test_line_dedup_when_much_is_removed(docs, rows, monkeypatch):
     test_line_dedup(docs, rows)
 
 
+def test_line_dedup_takes_repeated_short_lines(spark):
+    rows = [(1, "All rights reserved.\nLes.\n \n\none two three four"), (2, "ALL rights  reserved.\nother\n \n\none two three"), (3, "Les.\nall rights reserved.\none two three four five\none two three four")]
+    got = {r.doc_id: (r.text, r.n_lines_removed) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), short=True).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("other\n \n\none two three", 1), 3: ("one two three four five", 3)}
+
+
+def test_queries_take_repeated_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from llm import queries
+
+    docs = spark.createDataFrame([(1, "All rights reserved.\nx", "en", "s", 22), (2, "y\nAll rights reserved.", "en", "s", 22)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_lines_removed for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()} == {1: "All rights reserved.\nx", 2: "y"}
+
+
 def test_line_dedup_empty(nothing):
     assert line_dedup.dedup(nothing).collect() == []
 
