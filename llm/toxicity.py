@@ -7,7 +7,8 @@ words, letters set apart by dots).  Words are runs of letters; in them digits an
 
 The lexicon and the trees see labels of the training rows only.  The rows are dealt into two folds: each fold's features come from
 the other fold's lexicon, each fold's raw scores from trees grown on the other, and isotonic regression on these raw scores
-gives the calibration; the final lexicon and trees use both folds.
+gives the calibration; the final lexicon and trees use both folds.  Trees and calibration weigh each training row by the labelled rows
+of its class that it stands for, so scores follow the share of toxic rows among all labels, however few of them are sampled.
 
 Edge cases: a null text is empty; empty texts get a score like any other; without training rows of both classes every score is the
 share of toxic rows (0 without rows); ties and repeated rows are scored alike; an empty table gives an empty result; further
@@ -159,8 +160,10 @@ class Trees:
     def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 48, least: float = 3.0, ridge: float = 1.0):
         self.rounds, self.depth, self.rate, self.bins, self.least, self.ridge = rounds, depth, rate, bins, least, ridge
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Trees:
+        """Weights count relative to their mean."""
+        weight = np.ones(len(y)) if weight is None else weight / weight.mean()
+        share = np.clip(np.average(y, weights=weight), 1e-6, 1 - 1e-6)
         self.base = float(np.log(share / (1 - share)))
         self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
         q = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(self.cuts)], 1)
@@ -168,7 +171,7 @@ class Trees:
         self.trees = []
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-raw))
-            tree = self._grow(q, p - y, np.maximum(p * (1 - p), 1e-9))
+            tree = self._grow(q, weight * (p - y), weight * np.maximum(p * (1 - p), 1e-9))
             self.trees.append(tree)
             raw += self._leaf(tree, x)
         return self
@@ -222,13 +225,14 @@ class Trees:
         return self.base + sum((self._leaf(t, x) for t in self.trees), np.zeros(len(x)))
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pooled adjacent violators: knots and values of the non-decreasing fit."""
     order = np.argsort(x, kind="stable")
     xs, ys = x[order], y[order].astype(float)
+    ws = np.ones(len(x)) if weight is None else weight[order]
     blocks: list[list[float]] = []
-    for a, b in zip(xs.tolist(), ys.tolist(), strict=True):
-        blocks.append([b, 1.0, a, a])
+    for a, b, w in zip(xs.tolist(), ys.tolist(), ws.tolist(), strict=True):
+        blocks.append([b, w, a, a])
         while len(blocks) > 1 and (blocks[-2][0] >= blocks[-1][0] or blocks[-2][3] == blocks[-1][2]):
             v, n, _, hi = blocks.pop()
             u, m, lo, _ = blocks[-1]
@@ -251,10 +255,11 @@ class Scorer:
         return np.clip(np.interp(self.trees.raw(features(texts, self.lexicon)), self.knots, self.values), 0, 1)
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, fold: np.ndarray) -> Scorer:
-    """fold: 0 or 1 for each row."""
+def fit(texts: pa.Array, toxic: np.ndarray, fold: np.ndarray, weight: np.ndarray | None = None) -> Scorer:
+    """fold: 0 or 1 for each row; weight: the labelled rows that each row stands for."""
     toxic = toxic.astype(bool)
-    share = float(toxic.mean()) if len(toxic) else 0.0
+    weight = np.ones(len(toxic)) if weight is None else weight
+    share = float(np.average(toxic, weights=weight)) if len(toxic) else 0.0
     parts = [np.flatnonzero(fold == k) for k in (0, 1)]
     if not all(0 < toxic[p].sum() < len(p) for p in parts):
         return Scorer(Lexicon((), ()), None, np.zeros(0), np.zeros(0), share)
@@ -264,18 +269,23 @@ def fit(texts: pa.Array, toxic: np.ndarray, fold: np.ndarray) -> Scorer:
         x[own] = features(take(own), learn_lexicon(take(other), toxic[other]))
     raw = np.zeros(len(toxic))
     for own, other in (parts, parts[::-1]):
-        raw[own] = Trees().fit(x[other], toxic[other]).raw(x[own])
-    knots, values = isotonic(raw, toxic)
-    return Scorer(learn_lexicon(texts, toxic), Trees().fit(x, toxic), knots, values, share)
+        raw[own] = Trees().fit(x[other], toxic[other], weight[other]).raw(x[own])
+    knots, values = isotonic(raw, toxic, weight)
+    return Scorer(learn_lexicon(texts, toxic), Trees().fit(x, toxic, weight), knots, values, share)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> Scorer:
-    """Fits on at most rows_per_class labelled rows of each class, chosen by a hash of the id."""
+    """Fits on at most rows_per_class labelled rows of each class, chosen by a hash of the id and weighted back to their class's count."""
     known = labels.select(F.col(id_col).alias("d"), F.col(label_col).cast("int").alias("y")).filter("d IS NOT NULL AND y IN (0, 1)").groupBy("d").agg(F.max("y").alias("y"))
+    # labelled rows that a sampled one stands for
+    stands = np.ones(2)
+    for y, n in known.groupBy("y").count().collect():
+        stands[y] = max(1.0, n / rows_per_class)
     ids = hashed_rows(known, "y", "d", rows_per_class)
     sample = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).join(F.broadcast(ids), "d").withColumn("h", F.xxhash64("d")).orderBy("h", "d").toArrow()
     fold = np.asarray(sample.column("h").combine_chunks(), np.int64) & 1
-    return fit(sample.column("t").combine_chunks().fill_null(""), np.asarray(sample.column("y").combine_chunks()), fold)
+    toxic = np.asarray(sample.column("y").combine_chunks(), np.int64)
+    return fit(sample.column("t").combine_chunks().fill_null(""), toxic, fold, stands[toxic])
 
 
 def score(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

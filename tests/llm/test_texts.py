@@ -198,6 +198,20 @@ def test_toxicity(spark, nothing):
     assert {r.score for r in toxicity.score(docs, no_labels).collect()} == {0.0}
 
 
+def test_toxicity_follows_the_labels_whatever_the_cap(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("alpha beta gamma delta omega sigma".split()) for _ in range(20)), int(i % 10 == 0)) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    for cap in (2000, 100):
+        model = toxicity.train(frame, frame, rows_per_class=cap)
+        assert abs(model.share - 0.1) < 1e-9
+        assert toxicity.score(frame, model).agg(F.avg("score")).first()[0] < 0.2
+
+
+def test_isotonic_weighs_rows():
+    assert toxicity.isotonic(np.array([1.0, 1, 2]), np.array([1, 0, 1]), np.array([1.0, 3, 1]))[1].tolist() == [0.25, 0.25, 1, 1]
+
+
 def test_isotonic_is_sorted_and_pools():
     knots, values = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0, 1, 0, 1]))
     assert (np.diff(values) >= 0).all() and np.interp(2.5, knots, values) == 0.5
