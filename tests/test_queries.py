@@ -29,6 +29,12 @@ def test_greedy_never_overbooks(spark, sf_dir):
     assert len({(r["pool"], r["task_id"]) for r in placed}) == len(placed)
 
 
+def test_task_order_is_whole(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").filter("o_orderstatus = 'O'").count()
+    places = [r.place for r in QUERIES["f7_task_order"](spark, "/root/testdata/sf0.01").collect()]
+    assert orders > 1024 and sorted(places) == list(range(1, orders + 1))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
