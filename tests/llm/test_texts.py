@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
@@ -114,6 +115,28 @@ def test_mixing_limits_and_order(spark):
     assert order.rdd.glom().map(lambda part: [r.position for r in part] == sorted(r.position for r in part)).collect() == [True] * 4
 
 
+def test_training_order_query(spark, sf_dir):
+    from llm import queries
+
+    taken = {r.doc_id: r for r in queries.op6_source_mixing(spark, sf_dir).collect()}
+    source = {r.doc_id: r.source for r in queries.table(spark, sf_dir, "documents").select("doc_id", "source").collect()}
+    names = sorted(set(source.values()), key=lambda s: (s is None, s))
+    ramp = {s: (-0.5, 0.0, 0.5)[k % 3] for k, s in enumerate(names)}
+    start: Counter = Counter()
+    expected = []
+    for i in sorted(source, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)):
+        r, at, g = taken[i], start[source[i]], ramp[source[i]]
+        start[source[i]] += r.size
+        for p in range(4):
+            n = min(r.size, max(0, int(r.target) - p * r.source_size - at))
+            if n and 2 * n >= r.size:
+                due = min(1.0, (p * r.source_size + at + n / 2) / r.target)
+                expected.append((((((1 - g) ** 2 + 4 * g * due) ** 0.5 - (1 - g)) / (2 * g)) if g else due, i))
+    got = [(r.position, r.doc_id) for r in queries.QUERIES["op6_training_order"](spark, sf_dir).collect()]
+    assert [p for p, _ in got] == sorted(p for p, _ in got)
+    assert sorted((i, round(p, 9)) for p, i in got) == sorted((i, round(p, 9)) for p, i in expected)
+
+
 def test_mixing_empty(nothing):
     assert source_mixing.mix(nothing.withColumn("size", source_mixing.words())).collect() == []
 
