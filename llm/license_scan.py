@@ -1,13 +1,15 @@
 """Licence scans by a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line.  Its features are the word 1-, 2- and 3-grams (A-Z in lower case, punctuation taken off the words' ends) that
-occur in the licence templates, as shares of its words, and the share of words that no template has.  Multinomial logistic
+A paragraph is a line.  Its features are the word 1-, 2- and 3-grams (A-Z in lower case, punctuation and comment marks taken off the
+words' ends) that occur in the licence templates, as shares of its words, and the share of words that no template has.  Multinomial logistic
 regression tells the licence families and an ``unknown`` class apart; it is trained on sentences made from the templates, on parts of
 them and, for the unknown class, on prose about licences and on a bounded sample of the corpus's own lines that name no licence.
 A temperature fitted on sentences held out from training calibrates the probabilities.
 
-A line counts as a licence line of its family if the calibrated probability is at least ``least_score`` and at least ``least_share``
-of its 3-grams are in the family's templates.  Lines of fewer than three words are unknown.
+A passage is a licence passage of its family if the calibrated probability is at least ``least_score`` and at least ``least_share``
+of its 3-grams are in the family's templates; one of one or two words has no 3-gram and must be a name of the family, alone or after
+a lead.  A line counts if it or one of its sentences of two words or more is such a passage; the whole line stands for itself,
+else the sentence with the largest share, then probability, then the first stands for it.
 
 Edge cases: null and empty texts have no licence; ties between families go to the first in the order of ``FAMILIES``; repeated rows are
 scanned alike; an empty table gives an empty result; further columns are ignored.  Whole texts are read, however long.
@@ -15,6 +17,7 @@ scanned alike; an empty table gives an empty result; further columns are ignored
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,6 +53,10 @@ OTHERS = [
 ]
 _EDGE = np.zeros(256, bool)
 _EDGE[[*range(33), *b"\"'(),;:!?[]{}<>.*|"]] = True
+#: Bytes of words proper; a word's other bytes at its ends are comment marks and the like, a word without one is left out.
+_CORE = np.zeros(256, bool)
+_CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_SENTENCE = re.compile(r"(?<=[.!?;])[\"')\]]*\s+(?=[\"'(\[¿¡]*[^\W\d_a-zß-ÿ])")
 CORPUS_ROWS = 300
 
 
@@ -57,6 +64,12 @@ def grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashes of the words and, at each word, of the 2- and 3-gram that starts there (0 at line ends); words' offsets by line."""
     raw, offsets = buffers(texts)
     words = Words(raw, offsets, _EDGE)
+    core = np.flatnonzero(_CORE[raw])
+    ends = words.start + words.length
+    a, b = np.searchsorted(core, words.start), np.searchsorted(core, ends)
+    full = a < b
+    words.start, words.length = core[a[full]], core[b[full] - 1] + 1 - core[a[full]]
+    words.offsets = np.searchsorted(words.start, offsets)
     h = words.hashes()
     out = [h]
     ids = words.text_ids()
@@ -78,6 +91,8 @@ class Licences:
     weights: np.ndarray
     families: np.ndarray
     temperature: float
+    #: for each family, hashes of its names of one word and of two, alone or after a lead
+    short: list[tuple[set[int], set[int]]]
 
     def _rows(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
@@ -101,6 +116,11 @@ class Licences:
         ok = rows[2] >= 0
         ok[ok] = self.families[rows[2][ok], best[ids[ok]]]
         share = np.bincount(ids[ok], minlength=len(n)) / np.maximum(n - 2, 1)
+        for t in np.flatnonzero((n == 1) | (n == 2)):
+            share[t] = best[t] < len(self.short) and int(hashes[n[t] - 1][at[t]]) in self.short[best[t]][n[t] - 1]
+            # "mit" and "Mit" alone are words of prose
+            if share[t] and n[t] == 1 and "licen" not in (one := texts[int(t)].as_py()).lower():
+                share[t] = sum(c.isupper() for c in one) > 1
         return best, score, share
 
 
@@ -116,6 +136,17 @@ def _sentences() -> tuple[list[str], list[int]]:
     return texts, labels
 
 
+def _short_forms() -> list[tuple[set[int], set[int]]]:
+    """For each family, the hashes of its names of one word and of two, with or without their article, alone or after a lead."""
+    out = []
+    for key, (names, _) in FAMILIES.items():
+        made = {x for name in (key, *names) for x in (name, re.sub("^[Tt]he ", "", name))}
+        hashes, at = grams(pa.array(sorted(made | {lead.format(name) for name in made for lead in LEADS})))
+        n = np.diff(at)
+        out.append(tuple({int(x) for x in hashes[k][at[:-1][n == k + 1]]} for k in (0, 1)))
+    return out
+
+
 def fit(corpus_lines: list[str]) -> Licences:
     """Trains on the templates and on corpus lines without a licence."""
     names = [*FAMILIES, "unknown"]
@@ -159,7 +190,7 @@ def fit(corpus_lines: list[str]) -> Licences:
     for t in grid:
         q = z / t - (z / t).max(1, keepdims=True)
         losses.append(-(q[np.arange(len(q)), labels[held]] - np.log(np.exp(q).sum(1))).mean())
-    return Licences(names, keys, w.astype(np.float64), families, float(grid[int(np.argmin(losses))]))
+    return Licences(names, keys, w.astype(np.float64), families, float(grid[int(np.argmin(losses))]), _short_forms())
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = CORPUS_ROWS) -> Licences:
@@ -170,6 +201,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
     return fit(lines[: 20 * rows])
 
 
+def sentences(line: str) -> list[str]:
+    """The sentences of a line that has more than one; one word ("MIT!!" in shouted German) is none."""
+    found = _SENTENCE.split(line)
+    return [x for x in found if len(x.split(None, 1)) > 1] if len(found) > 1 else []
+
+
 def scan(docs: DataFrame, model: Licences, id_col: str = "doc_id", text_col: str = "text", least_score: float = 0.5, least_share: float = 0.5) -> DataFrame:
     """One row for each licence line: doc_id, line (from 0), family, score, share, text."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -184,9 +221,16 @@ def scan(docs: DataFrame, model: Licences, id_col: str = "doc_id", text_col: str
                     ids += [d] * len(own)
                     numbers += range(len(own))
                 texts = pa.array(lines, pa.string())
-                best, score, share = shipped.value.scan(texts)
-                hit = np.flatnonzero((best < len(FAMILIES)) & (score >= least_score) & (share >= least_share))
+                # the passages: all lines, then the sentences of lines with several
+                parts = [(k, x) for k, line in enumerate(lines) for x in sentences(line)]
+                of = np.concatenate([np.arange(len(lines)), np.array([k for k, _ in parts], np.int64)])
+                best, score, share = shipped.value.scan(pa.array(lines + [x for _, x in parts], pa.string()))
+                found = np.flatnonzero((best < len(FAMILIES)) & (score >= least_score) & (share >= least_share))
+                # a line that is a licence passage as a whole stands for itself, else its best sentence does
+                found = found[np.lexsort((found, -score[found], -share[found], found >= len(lines), of[found]))]
+                found = found[np.append(True, of[found][1:] != of[found][:-1])] if len(found) else found
+                hit, best, score, share = of[found], best[found], score[found], share[found]
                 if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in hit], pa.int64()), pa.array([numbers[k] for k in hit], pa.int32()), pa.array([shipped.value.names[best[k]] for k in hit]), pa.array(score[hit]), pa.array(share[hit]), texts.take(pa.array(hit))], ["doc_id", "line", "family", "score", "share", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in hit], pa.int64()), pa.array([numbers[k] for k in hit], pa.int32()), pa.array([shipped.value.names[k] for k in best]), pa.array(score), pa.array(share), texts.take(pa.array(hit))], ["doc_id", "line", "family", "score", "share", "text"])
 
     return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, line int, family string, score double, share double, text string")

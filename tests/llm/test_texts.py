@@ -249,6 +249,16 @@ def test_licences(spark, docs, nothing):
     assert license_scan.scan(nothing, model).collect() == []
 
 
+def test_licences_short_commented_and_among_prose(spark, docs):
+    lines = ["SPDX-License-Identifier: MIT", "// SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: MIT", "/* SPDX-License-Identifier: Apache-2.0 */", "License: Apache-2.0", "MIT License", "GPLv2", "//SPDX-License-Identifier: ISC"]
+    prose = "The harbour was quiet in the early morning and nobody saw the boats leave. Released under the MIT License. Later that day the market opened and the street was full of people who had come from the hills."
+    plain = ["this software", "The", "mit uns", "Mit", "DIE BOOTE!! FAHREN!! MIT!! DER!!", "free software", "of the", "The license", "// nothing here", "General public", "Die Boote fahren mit. Sie kommen nicht."]
+    frame = spark.createDataFrame([(1, "\n".join(lines)), (2, prose), (3, "\n".join(plain))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.line, r.family) for r in license_scan.scan(frame, license_scan.train(docs)).collect())
+    expected = ["MIT", "MIT", "MIT", "Apache-2.0", "Apache-2.0", "MIT", "GPL-2.0", "ISC"]
+    assert got == [(1, k, x) for k, x in enumerate(expected)] + [(2, 0, "MIT")]
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-sidebar"><header>Site</header><nav><a href=x>Menu</a></nav>
 <div class="cookie-notice">We use cookies</div><article><h1>Head &amp; line</h1><p>First   <b>bold</b>&nbsp;text<p>Second<br>third<form>Sign up</form><div class="ad">Buy</div><ul><li>one<li>two</ul>
 <section id="comments"><p>Nice post</p></section></article><aside>Side</aside><footer>&copy; me</footer></body></html>"""
