@@ -170,6 +170,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("line", "ascending")])
+        # rows that repeat an id and text give a position more than once
+        if len(table):
+            d, k = (np.asarray(table.column(c)) for c in ("doc_id", "line"))
+            table = table.filter(pa.array(np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1]))))
         out = later_matches(unpack_sets(table.column("tokens")), percent)
         return table.select(["doc_id", "line"]).take(pa.array(out, pa.int64()))
 

@@ -149,6 +149,13 @@ def test_queries_take_repeated_short_lines(spark, tmp_path):
     assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()} == {1: "All rights reserved.\nx", 2: "y"}
 
 
+def test_line_dedup_keeps_the_earliest_of_near_copies_repeated(spark):
+    w = [f"word{k}" for k in range(40)]
+    rows = [(1, " ".join(w)), (1, " ".join(w)), (2, " ".join([*w[:-1], "other"]))]
+    got = sorted((r.doc_id, r.text, r.n_lines_removed) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, rows[0][1], 0), (1, rows[0][1], 0), (2, "", 1)]
+
+
 def test_line_dedup_empty(nothing):
     assert line_dedup.dedup(nothing).collect() == []
 
