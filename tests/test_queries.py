@@ -29,6 +29,15 @@ def test_greedy_never_overbooks(spark, sf_dir):
     assert len({(r["pool"], r["task_id"]) for r in placed}) == len(placed)
 
 
+def test_workers_rank_by_tenths_of_load(spark):
+    from rillstone.operators import placement as L
+
+    rows = [(1, 100, 50, 24), (2, 100, 95, 20), (3, 100, 94, 9), (4, 0, 0, 0), (5, 100, 96, 10)]
+    frame = spark.createDataFrame(rows, "worker_id long, total_memory_bytes long, available_memory_bytes long, cpu_percent long")
+    frame = frame.selectExpr("*", "1 AS task_id", "0 AS remote", "0 AS unknown_sizes", "0 AS remote_bytes", "4 AS total_slots", "0 AS running_slots", "0 AS reserved_slots", "4 AS cpu_cores")
+    assert [r.worker_id for r in L.ranked_workers(frame).orderBy("place").collect()] == [3, 5, 2, 1, 4]
+
+
 def test_task_order_is_whole(spark):
     orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").filter("o_orderstatus = 'O'").count()
     places = [r.place for r in QUERIES["f7_task_order"](spark, "/root/testdata/sf0.01").collect()]
