@@ -6,18 +6,28 @@ checkpoint folder, so that no round's plan grows.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.  Only a local session (tests) gets one of its own where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="rounds-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """frame without its lineage, kept in the folder that the cluster names in spark.checkpoint.dir."""
-    spark = frame.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rounds-"))
+    """frame without its lineage, kept in the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
@@ -32,34 +42,49 @@ def sinks(tasks: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def levels(tasks: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, level): 0 for sources, else one more than the highest level of a parent.  A cycle raises."""
+    """(id, level): 0 for sources, else one more than the highest level of a parent.  A cycle raises.
+
+    Tasks of one parent hang on an anchor, a task of none or several: doubling finds it and the steps from it in as many rounds as the
+    longest chain has binary digits.  Longest paths between anchors are then followed, a round for each anchor on the longest one.
+    """
     pairs = cut(edges.select("source", "target").distinct())
-    frontier = sources(tasks, pairs).select("id", F.lit(0).cast("long").alias("level"))
-    frontier, most, k = cut(frontier), tasks.count(), 0
-    found = frontier
-    while not frontier.isEmpty():
+    parents = pairs.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n"), F.min("source").alias("up"))
+    found = tasks.select("id").distinct().join(parents, "id", "left")
+    one = F.coalesce(F.col("n") == 1, F.lit(False))
+    now = cut(found.select("id", F.when(one, F.col("up")).otherwise(F.col("id")).alias("anchor"), one.cast("long").alias("steps"), (~one).alias("done")))
+    longest = now.count()
+    rounds = 0
+    while not now.filter("NOT done").isEmpty():
+        if 1 << rounds > longest:
+            raise ValueError("the graph has a cycle")
+        up = now.select(F.col("id").alias("anchor"), F.col("anchor").alias("higher"), F.col("steps").alias("more"), F.col("done").alias("up_done"))
+        open_ = now.filter("NOT done").join(up, "anchor").select("id", F.col("higher").alias("anchor"), (F.col("steps") + F.col("more")).alias("steps"), F.col("up_done").alias("done"))
+        now, rounds = cut(now.filter("done").union(open_)), rounds + 1
+    # edges into anchors, between anchors; their weights are the steps of the path
+    several = parents.filter("n > 1").select(F.col("id").alias("target"))
+    ways = pairs.join(several, "target", "left_semi").join(now.select(F.col("id").alias("source"), "anchor", "steps"), "source")
+    ways = cut(ways.groupBy(F.col("anchor").alias("source"), "target").agg((F.max("steps") + 1).alias("steps")))
+    at = cut(now.filter("id = anchor").select("id", F.lit(0).cast("long").alias("level")))
+    anchors, front, k = at.count(), at, 0
+    while not (front := cut(front.join(ways, front["id"] == ways["source"]).groupBy(F.col("target").alias("id")).agg(F.max(F.col("level") + F.col("steps")).alias("level")))).isEmpty():
         k += 1
-        if k > most:
+        if k > anchors:
             raise ValueError("the graph has a cycle")
-        frontier = cut(frontier.join(pairs, frontier["id"] == pairs["source"]).select(F.col("target").alias("id"), F.lit(k).cast("long").alias("level")).distinct())
-        found = found.union(frontier)
-    out = cut(found.groupBy("id").agg(F.max("level").alias("level")))
-    if out.count() < tasks.select("id").distinct().count():
-        raise ValueError("the graph has a cycle")
-    return out
+        known = at.withColumnRenamed("level", "was")
+        front = cut(front.join(known, "id").filter("level > was").select("id", "level"))
+        at = cut(at.union(front).groupBy("id").agg(F.max("level").alias("level")))
+    return now.join(at.select(F.col("id").alias("anchor"), "level"), "anchor").select("id", (F.col("level") + F.col("steps")).alias("level"))
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(source, target) for every path; cycles are allowed.  Paths double in length each round, so rounds are logarithmic."""
-    now = cut(edges.select("source", "target").distinct())
-    count = now.count()
-    while True:
-        right = now.select(F.col("source").alias("mid"), F.col("target").alias("end"))
-        now = cut(now.union(now.join(right, now["target"] == right["mid"]).select("source", F.col("end").alias("target"))).distinct())
-        grown = now.count()
-        if grown == count:
-            return now
-        count = grown
+    """(source, target) for every path; cycles are allowed.  Paths double in length each round, and only new ones are extended."""
+    found = fresh = cut(edges.select("source", "target").distinct())
+    while not fresh.isEmpty():
+        on = found.select(F.col("source").alias("mid"), F.col("target").alias("end"))
+        longer = fresh.join(on, fresh["target"] == on["mid"]).select("source", F.col("end").alias("target")).distinct()
+        fresh = cut(longer.join(found, ["source", "target"], "left_anti"))
+        found = cut(found.union(fresh))
+    return found
 
 
 def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
@@ -113,11 +138,24 @@ def required_values(tasks: DataFrame, values: DataFrame) -> DataFrame:
     return read.join(values.select("value_id", "producer"), "value_id").select("id", "value_id", "producer")
 
 
-def parallel_pairs(tasks: DataFrame, paths: DataFrame) -> DataFrame:
-    """(a, b), a < b: certain tasks that may run anywhere and have no path either way."""
+def parallel_counts(tasks: DataFrame, paths: DataFrame) -> DataFrame:
+    """(id, beside): with how many others each certain task that may run anywhere can run at a time, having no path either way.
+
+    Counts need no pairs: of all such tasks, those on a path from or to it do not fit.
+    """
+    free = tasks.filter("certainty = 'certain' AND placement = 'isolated'").select("id")
+    both = paths.select(F.col("source").alias("id"), F.col("target").alias("other")).union(paths.select(F.col("target").alias("id"), F.col("source").alias("other"))).filter("id <> other").distinct()
+    on_path = both.join(free, "id", "left_semi").join(free.withColumnRenamed("id", "other"), "other", "left_semi").groupBy("id").agg(F.count("*").alias("n"))
+    every = free.agg(F.count("*").alias("every"))
+    return free.join(on_path, "id", "left").join(F.broadcast(every)).select("id", (F.col("every") - 1 - F.coalesce("n", F.lit(0))).alias("beside"))
+
+
+def parallel_with(tasks: DataFrame, paths: DataFrame, asked: DataFrame) -> DataFrame:
+    """(a, b): for the tasks asked for (id), a few, the others that can run at the same time."""
     free = tasks.filter("certainty = 'certain' AND placement = 'isolated'").select("id")
-    pairs = free.select(F.col("id").alias("a")).join(free.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
-    both = paths.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    wanted = asked.join(free, "id", "left_semi").agg(F.collect_set("id").alias("ids"))
+    pairs = free.withColumnRenamed("id", "b").join(F.broadcast(wanted)).select(F.explode("ids").alias("a"), "b").filter("a <> b")
+    both = paths.select(F.col("source").alias("a"), F.col("target").alias("b")).union(paths.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
     return pairs.join(both, ["a", "b"], "left_anti")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 #: Transfers at most that a worker sends, and receives, at a time.
 LANES = 4
 
@@ -18,10 +20,26 @@ def transfer_sources(needs: DataFrame, replicas: DataFrame) -> DataFrame:
 
 
 def admitted(transfers: DataFrame, lanes: int = LANES) -> DataFrame:
-    """Transfers (id, source, destination), first come first served, within both sides' lanes: a transfer's rank must fit on each side."""
-    out = F.row_number().over(W.partitionBy("source").orderBy("id"))
-    into = F.row_number().over(W.partitionBy("destination").orderBy("id"))
-    return transfers.withColumn("n_out", out.cast("long")).withColumn("n_in", into.cast("long")).withColumn("admitted", (F.col("n_out") <= lanes) & (F.col("n_in") <= lanes))
+    """Transfers (id, source, destination) with admitted, as if taken one by one in order of id: each goes if both its sides have a lane left.
+
+    One that does not go uses no lane.  Rounds settle many at once: a transfer among the first `lanes` of those on both its sides that
+    have gone or are open goes; one with a side on which `lanes` earlier ones have gone does not.  The first open one is always settled.
+    """
+    gone = None
+    left = cut(transfers.select("id", "source", "destination", F.lit(None).cast("boolean").alias("admitted")))
+    while True:
+        before = lambda side: W.partitionBy(side).orderBy("id").rowsBetween(W.unboundedPreceding, -1)
+        went = lambda side: F.coalesce(F.sum(F.col("admitted").cast("int")).over(before(side)), F.lit(0))
+        ahead = lambda side: F.count("*").over(before(side))
+        now = left.withColumn("full", F.greatest(went("source"), went("destination")) >= lanes).withColumn("late", F.greatest(ahead("source"), ahead("destination")) >= lanes)
+        settled = F.when(F.col("admitted").isNotNull(), F.col("admitted")).when(F.col("full"), F.lit(False)).when(~F.col("late"), F.lit(True))
+        now = cut(now.withColumn("admitted", settled).drop("full", "late"))
+        # those that do not go are out of the way of all others
+        refused = now.filter("admitted = false")
+        gone = refused if gone is None else gone.union(refused)
+        left = now.filter("admitted IS NULL OR admitted")
+        if left.filter("admitted IS NULL").isEmpty():
+            return gone.union(left)
 
 
 def content_groups(frame: DataFrame, column: str, id_col: str) -> DataFrame:

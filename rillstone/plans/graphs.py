@@ -110,6 +110,65 @@ def e12_chain_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "events").select("event_id", place.cast("long").alias("level"))
 
 
+# Graphs at size.  Chains: the events of each user.  A tree: part k feeds 2k and 2k + 1.
+@query("SELECT event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS level FROM events")
+def e12_event_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels by the graph operator, which knows nothing of chains."""
+    return G.levels(T.table(spark, sf_dir, "events").select(F.col("event_id").alias("id")), e1_data_edges(spark, sf_dir))
+
+
+@query("SELECT level, count(*) AS width FROM (SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS level FROM events) GROUP BY level")
+def e14_event_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.widths(e12_event_levels(spark, sf_dir))
+
+
+PARTS = "p AS (SELECT p_partkey AS id FROM part WHERE p_partkey >= 1), pe AS (SELECT id // 2 AS source, id AS target FROM p WHERE id >= 2)"
+
+
+def part_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("id")
+    parts = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")).filter("id >= 1")
+    return parts, parts.filter("id >= 2").select(F.expr("id div 2").alias("source"), k.alias("target"))
+
+
+@query(f"WITH RECURSIVE {PARTS}, e AS (SELECT * FROM pe UNION SELECT id - 1, id FROM p WHERE id % 7 = 0 AND id > 16 UNION SELECT id // 3, id FROM p WHERE id % 5 = 0 AND id >= 6), lv(id, level) AS (SELECT id, CAST(0 AS BIGINT) FROM p WHERE id NOT IN (SELECT target FROM e) UNION SELECT e.target, lv.level + 1 FROM lv JOIN e ON e.source = lv.id) SELECT id, max(level) AS level FROM lv GROUP BY id")
+def e12_part_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of a tree with cross edges, so of tasks with one and with several parents."""
+    parts, tree = part_tree(spark, sf_dir)
+    k = F.col("id")
+    cross = parts.filter("id % 7 = 0 AND id > 16").select((k - 1).alias("source"), k.alias("target")).union(parts.filter("id % 5 = 0 AND id >= 6").select(F.expr("id div 3"), k))
+    return G.levels(parts, tree.union(cross).distinct())
+
+
+@query(f"WITH RECURSIVE {PARTS}, c(source, target) AS (SELECT source, target FROM pe UNION SELECT c.source, pe.target FROM c JOIN pe ON c.target = pe.source) SELECT source, target FROM c")
+def e20_part_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.closure(part_tree(spark, sf_dir)[1])
+
+
+@query(f"WITH RECURSIVE {PARTS}, c(source, target) AS (SELECT source, target FROM pe UNION SELECT c.source, pe.target FROM c JOIN pe ON c.target = pe.source) SELECT target AS task, 'n' || source % 3 AS name, max(source) AS value_id FROM c GROUP BY 1, 2")
+def e21_part_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each of three names, the newest version that an ancestor of the part made; versions are part numbers."""
+    parts, tree = part_tree(spark, sf_dir)
+    made = parts.select(F.col("id").alias("producer"), F.concat(F.lit("n"), F.col("id") % 3).alias("name"), F.col("id").alias("value_id"), F.col("id").alias("version"))
+    return G.ancestor_bindings(G.closure(tree), made)
+
+
+@query(f"WITH RECURSIVE {PARTS}, r(value_id, root) AS (SELECT id, id FROM p UNION ALL SELECT r.value_id, r.root // 2 FROM r WHERE r.root >= 2 AND r.root // 2 % 3 = r.value_id % 3 AND r.root // 2 % 3 = r.root % 3) SELECT value_id, min(root) AS root FROM r GROUP BY 1")
+def e22_part_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part k is an alias of k div 2 as long as both are the same object, here of the same remainder."""
+    parts, _ = part_tree(spark, sf_dir)
+    k = F.col("id")
+    return G.alias_roots(parts.select(k.alias("value_id"), F.when(k >= 2, F.expr("id div 2")).alias("alias_of"), (k % 3).alias("object_id")))
+
+
+@query(f"WITH RECURSIVE {PARTS}, up(node, path) AS (SELECT max(id), CAST(max(id) AS VARCHAR) FROM p UNION ALL SELECT node // 2, (node // 2) || '>' || path FROM up WHERE node >= 2) SELECT path FROM up WHERE node = 1")
+def e17_part_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, tree = part_tree(spark, sf_dir)
+    last = parts.agg(F.max("id")).first()[0]
+    named = tree.select(F.col("source").cast("string"), F.col("target").cast("string"))
+    return G.shortest_path(named, "1", str(last)).select(F.array_join("path", ">").alias("path"))
+
+
 BROKEN = [("t01", "t01", "DATA"), ("t77", "t02", "DATA"), ("t02", "t88", "DATA"), ("t01", "t02", "DATA")]
 
 
@@ -147,9 +206,18 @@ def e17_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.shortest_path(edges(spark), "t01", "t09").select(F.array_join("path", ">").alias("path"))
 
 
-@query(rec("SELECT a.id AS a, b.id AS b FROM tasks a, tasks b WHERE a.id < b.id AND a.certainty = 'certain' AND b.certainty = 'certain' AND a.placement = 'isolated' AND b.placement = 'isolated' AND NOT EXISTS (SELECT 1 FROM paths p WHERE (p.source = a.id AND p.target = b.id) OR (p.source = b.id AND p.target = a.id))"))
-def e18_parallel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.parallel_pairs(tasks(spark), G.closure(edges(spark)))
+PARALLEL = "SELECT a.id AS a, b.id AS b FROM tasks a, tasks b WHERE a.id <> b.id AND a.certainty = 'certain' AND b.certainty = 'certain' AND a.placement = 'isolated' AND b.placement = 'isolated' AND NOT EXISTS (SELECT 1 FROM paths p WHERE (p.source = a.id AND p.target = b.id) OR (p.source = b.id AND p.target = a.id))"
+
+
+@query(rec(f"SELECT * FROM ({PARALLEL}) WHERE a IN ('t02', 't06', 't05')"))
+def e18_parallel_with(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([("t02",), ("t05",), ("t06",)], "id string")
+    return G.parallel_with(tasks(spark), G.closure(edges(spark)), asked)
+
+
+@query(rec(f"SELECT t.id, count(x.b) AS beside FROM tasks t LEFT JOIN ({PARALLEL}) x ON x.a = t.id WHERE t.certainty = 'certain' AND t.placement = 'isolated' GROUP BY t.id"))
+def e18_parallel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.parallel_counts(tasks(spark), G.closure(edges(spark)))
 
 
 @query(rec("SELECT id FROM tasks WHERE id NOT IN ('t01', 't02', 't08') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target = tasks.id AND e.source NOT IN ('t01', 't02', 't08'))"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +54,7 @@ def g2_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = T.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet" if not sf_dir.endswith("/") else "*").parquet(sf_dir)
     b = stream.select(F.col("user_id").alias("worker"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"), T.decode_json("props", "k long")["k"].alias("seq"))
-    return run_to_end(spark, verdict_stream(b), f"verdicts_{uuid.uuid4().hex}").select("worker", "id", "verdict")
+    return run_to_end(spark, verdict_stream(b)).select("worker", "id", "verdict")
 
 
 @query(f"WITH {BEATS} SELECT worker, id, gap_seconds FROM (SELECT worker, id, date_sub('second', lag(tm) OVER (PARTITION BY worker ORDER BY tm, id), tm) AS gap_seconds FROM beats) WHERE gap_seconds > 30")
@@ -82,19 +80,20 @@ def g5_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT id, outcome FROM (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'stale' WHEN row_number() OVER (PARTITION BY user_id, event_type, event_id % 3 = 0 ORDER BY ts, event_id) = 1 THEN 'committed' ELSE 'duplicate' END AS outcome FROM events)")
 def g8_first_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _outcomes(spark, sf_dir).select("id", "outcome")
+    return C.attempt_outcomes(_reports(spark, sf_dir)).select("id", "outcome")
 
 
-def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Success reports of tasks, a task for each user and type."""
     task = F.concat_ws("/", F.col("user_id").cast("string"), "event_type")
-    e = T.table(spark, sf_dir, "events").select(task.alias("task"), F.col("ts").alias("at"), F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, 1).otherwise(2).alias("generation"), F.lit(2).alias("current"))
-    return C.attempt_outcomes(e)
+    return T.table(spark, sf_dir, "events").select(task.alias("task"), F.col("ts").alias("at"), F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, 1).otherwise(2).alias("generation"), F.lit(2).alias("current"), "value")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS task, CAST(NULL AS BIGINT) AS commits WHERE false")
+@query("SELECT user_id || '/' || event_type AS task, count(*) AS commits FROM events WHERE value > 50 AND event_id % 3 <> 0 GROUP BY 1 HAVING count(*) > 1")
 def g9_unique_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No task is committed twice: no row."""
-    return C.commit_violations(_outcomes(spark, sf_dir))
+    """Tasks that a log commits more than once; here a log that took every report of a high value, whatever came before."""
+    recorded = F.when((F.col("value") > 50) & (F.col("generation") == F.col("current")), "committed").otherwise("ignored")
+    return C.commit_violations(_reports(spark, sf_dir).withColumn("outcome", recorded))
 
 
 KIND = "CASE l_linenumber % 5 WHEN 0 THEN 'INPUT_UNAVAILABLE' WHEN 1 THEN 'ENVIRONMENT_MISMATCH' WHEN 2 THEN 'EXECUTION_ERROR' WHEN 3 THEN 'PYTHON_EXCEPTION' ELSE 'CONTEXT_LOST' END"
@@ -167,10 +166,19 @@ def h2_transfer_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.transfer_states(e)
 
 
-@query("SELECT event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n_out, row_number() OVER (PARTITION BY event_id % 500 ORDER BY event_id) AS n_in, row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 4 AND row_number() OVER (PARTITION BY event_id % 500 ORDER BY event_id) <= 4 AS admitted FROM events")
+# A fold over the transfers in order: lanes in use of every source and destination, and the transfers that went.
+FOLD = """WITH t AS (SELECT event_id AS id, user_id AS s, event_id % 500 AS d FROM events), n AS (SELECT max(s) + 1 AS s, max(d) + 1 AS d FROM t),
+x AS (SELECT list({s: [s], d: [d], went: [id]} ORDER BY id) AS all_ FROM t),
+f AS (SELECT list_reduce(all_, lambda a, e: CASE WHEN a.s[e.s[1] + 1] < 4 AND a.d[e.d[1] + 1] < 4
+  THEN {s: list_transform(a.s, lambda v, i: v + CAST(i = e.s[1] + 1 AS BIGINT)), d: list_transform(a.d, lambda v, i: v + CAST(i = e.d[1] + 1 AS BIGINT)), went: list_append(a.went, e.went[1])} ELSE a END,
+  {s: list_transform(range(n.s), lambda v: CAST(0 AS BIGINT)), d: list_transform(range(n.d), lambda v: CAST(0 AS BIGINT)), went: CAST([] AS BIGINT[])}) AS end_ FROM x, n)
+SELECT t.id, t.id IN (SELECT unnest(end_.went) FROM f) AS admitted FROM t"""
+
+
+@query(FOLD)
 def h3_admission4(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("source"), (F.col("event_id") % 500).alias("destination"))
-    return M.admitted(e).select("id", "n_out", "n_in", "admitted")
+    return M.admitted(e).select("id", "admitted")
 
 
 @query("SELECT sha256(text) AS digest, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY 1")
@@ -194,11 +202,11 @@ def d10_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.capacity_counts(attempts(spark, sf_dir))
 
 
-@query("SELECT extension, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'py' ELSE 'txt' END AS extension, strlen(text) AS bytes FROM documents) WHERE bytes <= 8388608 GROUP BY 1")
+@query("SELECT extension, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, CASE WHEN max(bytes) > 8388608 THEN 'file_too_large' WHEN count(*) > 2048 THEN 'too_many_files' WHEN sum(bytes) > 67108864 THEN 'too_large' END AS refused FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'py' ELSE 'txt' END AS extension, strlen(text) AS bytes FROM documents) GROUP BY 1")
 def a6_package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A package's files, here the documents, within the size limit of one file."""
+    """Packages, here the documents of an extension, and why one is refused: a limit that is broken refuses the whole package."""
     files = T.table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 3 == 0, "py").otherwise("txt").alias("extension"), F.octet_length("text").cast("long").alias("bytes"))
-    return files.filter(F.col("bytes") <= T.MOST_FILE_BYTES).groupBy("extension").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    return T.package_limits(files, "extension")
 
 
 @query("SELECT sha256(string_agg(n_name || chr(9) || n_regionkey || chr(9) || sha256(n_name), chr(10) ORDER BY n_name || chr(9) || n_regionkey || chr(9) || sha256(n_name))) AS identity, count(*) AS files FROM nation")

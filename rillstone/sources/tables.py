@@ -25,15 +25,29 @@ def number_range(spark: SparkSession, start: int, stop: int, step: int = 1, part
     return spark.range(start, stop, step, partitions) if step else spark.range(0)
 
 
+def package_limits(files: DataFrame, by: str | None = None) -> DataFrame:
+    """(by, files, bytes, refused) of files (bytes, ...), of each package if `by` names them; refused is the limit that is broken, if any."""
+    refused = F.when(F.max("bytes") > MOST_FILE_BYTES, "file_too_large").when(F.count("*") > MOST_FILES, "too_many_files").when(F.sum("bytes") > MOST_BYTES, "too_large")
+    return files.groupBy(*[by] * (by is not None)).agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), refused.alias("refused"))
+
+
 def package(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Files of a folder, with their paths in it, sizes and digests; contents are read once, where the files are hashed."""
+    """Files of a folder, with their paths in it, sizes and digests; contents are read once, where the files are hashed.
+
+    A folder over a limit is refused as a whole, on its listing, before any content is read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    broken = package_limits(files.select(F.col("length").alias("bytes"))).first().refused
+    if broken:
+        raise ValueError(f"the folder is refused: {broken}")
     inside = F.regexp_replace("path", r"^\w+:/*(?=/)", "")
-    return files.filter(F.col("length") <= MOST_FILE_BYTES).select(inside.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(inside.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def package_identity(files: DataFrame) -> DataFrame:
-    """One digest of a folder: its sorted (path, size, digest) lines.  A folder has at most MOST_FILES files."""
+    """One digest of a folder: its sorted (path, size, digest) lines.  They are one row, so a folder over MOST_FILES files is refused."""
+    if files.limit(MOST_FILES + 1).count() > MOST_FILES:
+        raise ValueError("the folder is refused: too_many_files")
     line = F.concat_ws("\t", "path", F.col("bytes").cast("string"), "sha256")
     return files.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("identity"))
 
