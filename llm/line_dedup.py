@@ -21,18 +21,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .setjoin import binary_sets, blocks, by_rarity, candidate_groups, id_filter, in_filter, least_overlap, levels, likely, pair_overlap, prefixes, signatures, unpack_sets
-from .shared import discard, saved
+from .setjoin import PACKED, CellCounts, Seen, binary_sets, blocks, by_rarity, candidate_groups, id_filter, in_filter, least_overlap, likely, pack, pair_overlap, prefixes, rarity, signatures, unpack_sets
+from .shared import discard, give_back, lean, saved, small_batches
 from .textkernel import U64, Words, buffers, distinct_flat, mix64, slices, windows
 
 #: Prefixes are longer by this part of a set, and linked sets share that much more of them.
 PART = 16
-#: Bytes of removed line numbers that are sent to all tasks at most.
-MOST_BROADCAST = 32 << 20
-#: Signatures that a task remembers.
-SENT = 1_000_000
 
 
 def line_windows(batch: pa.RecordBatch, width: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,16 +60,27 @@ def _place(ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
     return (mix64(ids.view(U64)) + lines.astype(U64) * U64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def later_matches(sets: list[np.ndarray], percent: int) -> list[int]:
-    """Of sets in order of position, each in order of rarity (level, hash): those that match an earlier one."""
+def later_matches(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, inside: np.ndarray | None = None) -> list[int]:
+    """Of sets in order of position, each in order of rarity (level, hash): those that match an earlier one.
+
+    With side, 0 or 1 for each set, sets of one side are compared with each other only where inside says so.
+    """
+    if not sets:
+        return []
+    side = [0] * len(sets) if side is None else side.tolist()
+    inside = [True] * len(sets) if inside is None else inside.tolist()
+    size = [len(s) for s in sets]
+    # tokens as small numbers, so that the tokens of one set can be marked in an array
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    small = np.split(flat, np.cumsum(size)[:-1])
+    mark = np.full(len(flat), -1, np.int64)
     index: dict[int, list[tuple[int, int]]] = {}
-    plain = [np.sort(s) for s in sets]
     out = []
-    for x, tokens in enumerate(sets):
-        n = len(tokens)
+    for x, tokens in enumerate(small):
+        n = size[x]
         cut = n - least_overlap(n, percent) + 1
         seen: set[int] = set()
-        found = False
+        found = marked = False
         head = tokens[:cut].tolist()
         for i, token in enumerate(head):
             if found:
@@ -81,14 +89,16 @@ def later_matches(sets: list[np.ndarray], percent: int) -> list[int]:
                 if y in seen:
                     continue
                 seen.add(y)
-                m = len(sets[y])
-                if percent * max(n, m) > 100 * min(n, m):
+                m = size[y]
+                if percent * max(n, m) > 100 * min(n, m) or side[x] == side[y] and not inside[x]:
                     continue
                 need = pair_overlap(n, m, percent)
                 # the first common prefix token: nothing before it is common, at most the shorter rest follows
                 if 1 + min(n - i - 1, m - j - 1) < need:
                     continue
-                if len(np.intersect1d(plain[x], plain[y], assume_unique=True)) >= need:
+                if not marked:
+                    mark[tokens], marked = x, True
+                if np.count_nonzero(mark[small[y]] == x) >= need:
                     found = True
                     break
         if found:
@@ -100,85 +110,95 @@ def later_matches(sets: list[np.ndarray], percent: int) -> list[int]:
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, short: bool = False) -> DataFrame:
     """(doc_id, line) of the lines to remove; lines count from 0."""
+    small_batches(docs.sparkSession)
     d = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     context = docs.sparkSession.sparkContext
 
-    def all_tokens(batch):
-        for b in slices(batch, "t"):
-            yield line_windows(b, width)[0]
-
-    level = context.broadcast(levels(d, all_tokens))
-
-    def describe(batches):
-        # a set's prefix is sent once from each task, so that a line with many copies is not many postings
-        sent: set[int] = set()
+    def survey(batches):
+        """Each line's set in short, and whether this task had an equal line before it; at the end, the task's counts of tokens."""
+        cells, seen = CellCounts(), Seen()
         for batch in batches:
             for b in slices(batch, "t"):
                 h, at, by_text, few = line_windows(b, width, short)
                 full = np.flatnonzero(np.diff(at) > 0)
-                if not len(full):
-                    continue
                 tokens, own = distinct_flat(h, np.append(at[full], at[-1]))
-                ids, lines = _where(b, by_text, full)
+                cells.add(tokens[np.repeat(~few[full], np.diff(own))])
                 s1, s2 = signatures(tokens, own)
+                ids, lines = _where(b, by_text, full)
+                n = np.diff(own)
+                copy, _ = seen.earlier(s1, s2, n, ids, lines)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.int32()), pa.array(n), pa.array(s1), pa.array(s2), pa.array(copy), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+        k, parts = cells.rows()
+        none = [pa.nulls(len(k), kind) for kind in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*none, k, parts], names)
+
+    names = ["doc_id", "line", "n", "s1", "s2", "copy", "k", "part"]
+    table = saved(d.mapInArrow(lean(survey), "doc_id long, line int, n long, s1 long, s2 long, copy boolean, k int, part binary"))
+    order = context.broadcast(rarity(table.filter("k IS NOT NULL")))
+    items = table.filter("k IS NULL").drop("k", "part")
+    alike = W.partitionBy("s1", "s2", "n").orderBy("doc_id", "line")
+    place = F.struct("doc_id", "line")
+    ranked = saved(items.filter("NOT copy").drop("copy").withColumn("lead", F.row_number().over(alike) == 1).withColumn("copy", F.first(place).over(alike) != place))
+    copies = items.filter("copy").union(ranked.filter("copy").select(items.columns)).select("doc_id", "line")
+    first = ranked.filter("lead").select("s1", "n", "doc_id", "line")
+
+    def postings(batches):
+        seen = Seen()
+        for batch in batches:
+            for b in slices(batch, "t"):
                 # only lines of equal words share the token of a short line, and these are one class: it needs no partner
-                fresh = ~few[full]
-                for k, s in enumerate(s1.tolist()):
-                    if not fresh[k]:
-                        continue
-                    if s in sent:
-                        fresh[k] = False
-                    elif len(sent) < SENT:
-                        sent.add(s)
-                cut, ends = prefixes(tokens, own, level.value, percent, PART)
-                size = np.where(fresh, np.diff(ends), 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(cut[np.repeat(fresh, np.diff(ends))]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.int32()), pa.array(np.diff(own)), pa.array(s1), pa.array(s2), lists], ["doc_id", "line", "n", "s1", "s2", "prefix"])
-
-    items = saved(d.mapInArrow(describe, "doc_id long, line int, n long, s1 long, s2 long, prefix array<long>"), sweep=True)
-    own = F.struct("doc_id", "line")
-    first = saved(items.groupBy("s1", "s2", "n").agg(F.min(own).alias("first"), F.count("*").alias("rows")), sweep=True)
-    ahead = items.join(first.filter("rows > 1").select("s1", "s2", "n", "first"), ["s1", "s2", "n"]).filter(own != F.col("first"))
-    copies = saved(ahead.select("doc_id", "line"), sweep=True)
+                h, at, by_text, _ = line_windows(b, width)
+                full = np.flatnonzero(np.diff(at) > 0)
+                tokens, own = distinct_flat(h, np.append(at[full], at[-1]))
+                s1, s2 = signatures(tokens, own)
+                # a set's prefix is sent once from each task as a rule, so that a line with many copies is not many postings
+                again, _ = seen.earlier(s1, s2, np.diff(own), *_where(b, by_text, full))
+                keep = ~again
+                tokens, own = tokens[np.repeat(keep, np.diff(own))], np.concatenate([[0], np.cumsum(np.diff(own)[keep])])
+                cut, ends = prefixes(tokens, own, order.value, percent, PART)
+                each = np.diff(ends)
+                yield pack(cut, np.repeat(s1[keep], each), np.repeat(np.diff(own), each), order.value.buckets)
+
     # candidates by the first half of the signature: two classes that share it only make a group larger
-    groups = candidate_groups(items.filter("size(prefix) > 0").select(F.col("s1").alias("id"), "n", "prefix"), percent, PART)
-    groups = saved(groups)
-    known = likely(first.select("s1", "s2", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), "s1", groups.select("id"))
+    groups = saved(candidate_groups(d.mapInArrow(lean(postings), PACKED), percent, PART))
+    known = likely(first, "s1", groups.select("id"))
     classes = saved(known.join(groups, F.col("s1") == F.col("id")).drop("id"))
-    discard(items)
     pairs = blocks(classes, "s1")
 
     def places(batches):
         for b in batches:
             yield pa.RecordBatch.from_pydict({"id": pa.array(_place(np.asarray(b.column(0), np.int64), np.asarray(b.column(1), np.int64)))})
 
-    wanted = context.broadcast(id_filter(pairs.select("doc_id", "line").distinct().mapInArrow(places, "id long")))
+    lines = classes.select("doc_id", "line")
+    wanted = context.broadcast((id_filter(classes.select(F.col("doc_id").alias("id"))), id_filter(lines.mapInArrow(places, "id long"))))
 
     def fetch(batches):
+        texts, spots = wanted.value
         for batch in batches:
-            for b in slices(batch, "t"):
+            mine = in_filter(texts, np.asarray(batch.column("d"), np.int64))
+            for b in slices(batch.filter(pa.array(mine)), "t"):
                 h, at, by_text, _ = line_windows(b, width)
                 full = np.flatnonzero(np.diff(at) > 0)
-                if not len(full):
-                    continue
                 ids, lines = _where(b, by_text, full)
-                hit = np.flatnonzero(in_filter(wanted.value, _place(ids, lines)))
-                sets = [by_rarity(np.unique(h[at[k] : at[k + 1]]), level.value) for k in full[hit]]
+                hit = np.flatnonzero(in_filter(spots, _place(ids, lines)))
+                sets = [by_rarity(np.unique(h[at[k] : at[k + 1]]), order.value.level) for k in full[hit]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(lines[hit], pa.int32()), binary_sets(sets)], ["doc_id", "line", "tokens"])
 
-    sets = d.mapInArrow(fetch, "doc_id long, line int, tokens binary")
+    sets = d.mapInArrow(lean(fetch), "doc_id long, line int, tokens binary")
 
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("line", "ascending")])
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("line", "ascending")])
         # rows that repeat an id and text give a position more than once
-        if len(table):
-            d, k = (np.asarray(table.column(c)) for c in ("doc_id", "line"))
-            table = table.filter(pa.array(np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1]))))
-        out = later_matches(unpack_sets(table.column("tokens")), percent)
-        return table.select(["doc_id", "line"]).take(pa.array(out, pa.int64()))
-
-    matched = saved(pairs.join(sets, ["doc_id", "line"]).groupBy("group", "pair").applyInArrow(compare, "doc_id long, line int").distinct(), sweep=True)
-    discard(first)
+        d, k = (np.asarray(rows.column(c)) for c in ("doc_id", "line"))
+        once = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])))
+        rows = rows.select(["doc_id", "line", "side", "inside", "tokens"]).take(pa.array(once))
+        out = later_matches(unpack_sets(rows.column("tokens")), percent, np.asarray(rows.column("side")), np.asarray(rows.column("inside")).astype(bool))
+        if rows.nbytes > 1 << 20:
+            give_back()
+        return rows.select(["doc_id", "line"]).take(pa.array(out, pa.int64()))
+
+    matched = saved(pairs.join(sets, ["doc_id", "line"]).groupBy("bin", "pair").applyInArrow(compare, "doc_id long, line int"))
+    discard(groups, classes)
     return copies.union(matched).distinct()
 
 
@@ -190,29 +210,29 @@ def _where(batch: pa.RecordBatch, by_text: np.ndarray, lines: np.ndarray) -> tup
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, short: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of their texts, and n_lines_removed (it replaces a column of that name)."""
-    gone = saved(repeated_lines(docs, id_col, text_col, width, percent, short).groupBy(F.col("doc_id").alias("__d")).agg(F.array_sort(F.collect_list("line")).alias("__gone")))
+    gone = saved(repeated_lines(docs, id_col, text_col, width, percent, short).groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list("line").alias("__gone")))
     base = docs.drop("n_lines_removed")
-    own = F.col(id_col).cast("long") == F.col("__d")
-    size = gone.agg(F.sum(24 + 4 * F.size("__gone"))).first()[0] or 0
-    if size <= MOST_BROADCAST:
-        return _without_lines(base.join(F.broadcast(gone), own, "left"), text_col)
-    # too much to send to all: only texts that may lose lines are shuffled to meet them
+    # only texts that may lose lines are shuffled to meet their lines' numbers
     hit = docs.sparkSession.sparkContext.broadcast(id_filter(gone.select(F.col("__d").alias("id"))))
 
-    @F.pandas_udf("boolean")
-    def maybe(ids):
-        import pandas as pd
-
-        return pd.Series(in_filter(hit.value, ids.fillna(0).to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def maybe(ids: pa.Array) -> pa.Array:
+        return pa.array(in_filter(hit.value, np.asarray(ids.fill_null(0), np.int64)))
 
     base = base.withColumn("__maybe", maybe(F.col(id_col).cast("long")))
     same = base.filter(~F.col("__maybe")).drop("__maybe").withColumn("n_lines_removed", F.lit(0).cast("long"))
-    some = _without_lines(base.filter("__maybe").drop("__maybe").join(gone, own, "left"), text_col)
-    return same.unionByName(some)
+    some = base.filter("__maybe").drop("__maybe").join(gone.hint("merge"), F.col(id_col).cast("long") == F.col("__d"), "left").drop("__d")
 
-
-def _without_lines(joined: DataFrame, text_col: str) -> DataFrame:
-    """Takes the lines numbered in __gone out of the texts."""
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    out = joined.withColumn("n_lines_removed", F.when(F.col("__gone").isNotNull(), F.size("__gone")).otherwise(0).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))).drop("__d", "__gone")
+    def cut(batches):
+        for b in batches:
+            texts, n = b.column(text_col).to_pylist(), []
+            for k, lines in enumerate(b.column("__gone").to_pylist()):
+                n.append(len(lines or ()))
+                if lines and texts[k] is not None:
+                    lines = set(lines)
+                    texts[k] = "\n".join(x for j, x in enumerate(texts[k].split("\n")) if j not in lines)
+            new = {text_col: pa.array(texts, b.column(text_col).type), "n_lines_removed": pa.array(n, pa.int64())}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in names], names)
+
+    names = same.columns
+    return same.unionByName(some.mapInArrow(lean(cut), same.schema))

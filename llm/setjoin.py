@@ -2,34 +2,40 @@
 
 Sets are sorted arrays of 64-bit hashes.  Sets x and y link when ``percent * |x or y| <= 100 * |x and y|``; they then share at least
 ``least_overlap(|x|)`` tokens, so in any order of the tokens their first ``prefix_length`` ones have ``needed`` in common.  The order
-here is by rarity: counts of all tokens, in 2^20 cells by hash, give each cell a level, and within a level hashes decide.
+here is by rarity: counts of all sets' tokens, in 2^20 cells by hash, give each cell a level, and within a level hashes decide.
 Frequent tokens come last, so passages that many sets share are in few prefixes.  Any order gives the same links; the
 cells only decide how many candidates are compared.
 
-Sets with too few prefix tokens that any other set of a fitting size shares cannot link and leave.  The rest are chained along the
-tokens that they share, in order of size and broken where sizes differ too much; connected chains are candidate groups.  No link leaves a group, so groups can be
-compared one by one; large ones are dealt out in pairs of blocks of bounded size.
+Prefix tokens travel in packed buckets by hash, a few large rows for each batch of texts.  Sets with too few prefix tokens that any
+other set of a fitting size shares cannot link and leave.  The rest are chained along the tokens that they share, in order of size and
+broken where sizes differ too much; connected chains are candidate groups.  No link leaves a group, so groups can be compared one by
+one; large ones are dealt out in pairs of blocks of bounded size.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import components, discard, merged, saved
+from .shared import components, discard, give_back, merged, saved
 from .textkernel import U64, mix64
 
 CELL_BITS = 20
-#: Tokens at this level or above (over about 8 times the mean) are chained in salted parts.
-HOT_LEVEL = 5
-SALTS = 64
-#: Rounds in which sets with too few shared prefix tokens leave the candidates.
-PRUNINGS = 1
+SLICES = 64
+#: The lowest bits of a prefix token tell how many parts its postings are salted into, as a power of two.
+SALT_BITS = 4
+SALT_MASK = (1 << SALT_BITS) - 1
+#: Cells over so many times the mean are salted, into parts of about PART_TOKENS at most and a 4096th of all tokens.
+HOT_TIMES, PART_TOKENS = 16, 1_000_000
+#: Postings of a bucket, and buckets at least: also so many that a bucket's task is small against the rest.
+BUCKET_TOKENS, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 256, 1 << 22
 #: Sets, and tokens, of one side of a block pair.
-BLOCK_SETS, BLOCK_TOKENS = 1000, 2_000_000
+BLOCK_SETS, BLOCK_TOKENS = 500, 500_000
 FILTER_BITS = 25
 
 
@@ -54,96 +60,226 @@ def prefix_length(n, percent: int, part: int):
     return np.minimum(n, n - least_overlap(n, percent) + needed(n, part))
 
 
-def levels(docs: DataFrame, tokens) -> np.ndarray:
-    """The level of each cell; tokens(batch) gives all token hashes of a batch, repeated ones too."""
+@dataclass
+class Rarity:
+    """By cell of tokens: level (0 is rarest) and salt bits; buckets for all prefix tokens."""
 
-    def count(batches):
-        cells = np.zeros(1 << CELL_BITS, np.int64)
-        for b in batches:
-            for h in tokens(b):
-                cells += np.bincount((h >> U64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
-        return np.minimum(cells, 2**32 - 1).astype("<u4")
+    level: np.ndarray
+    salts: np.ndarray
+    buckets: int
 
-    cells = merged(docs, count, 1 << CELL_BITS, "<u4", np.add).astype(np.float64)
-    twice = 2 * max(1.0, cells.mean())
-    return np.where(cells <= twice, 0, 1 + np.floor(2 * np.log2(np.maximum(cells, 1) / twice))).astype(np.uint8)
+    @classmethod
+    def of(cls, cells: np.ndarray) -> Rarity:
+        cells = cells.astype(np.float64)
+        total = cells.sum()
+        twice = 2 * max(1.0, cells.mean())
+        level = np.where(cells <= twice, 0, 1 + np.floor(2 * np.log2(np.maximum(cells, 1) / twice))).astype(np.uint8)
+        part = max(HOT_TIMES * cells.mean(), min(PART_TOKENS, total / 4096), 1.0)
+        salts = np.clip(np.ceil(np.log2(np.maximum(cells, 1) / part)), 0, SALT_MASK).astype(np.uint8)
+        buckets = 1 << int(np.ceil(np.log2(max(1.0, total / 3 / BUCKET_TOKENS))))
+        return cls(level, salts, min(MOST_BUCKETS, max(LEAST_BUCKETS, buckets)))
 
 
-def by_rarity(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Distinct tokens, sorted by hash, in the order of rarity."""
-    return tokens[np.argsort(level[(tokens >> U64(64 - CELL_BITS)).astype(np.int64)], kind="stable")]
+def cell_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> U64(64 - CELL_BITS)).astype(np.int64)
+
+
+class CellCounts:
+    """A task's counts of tokens by cell, to be sent as rows (k, part)."""
+
+    def __init__(self):
+        self.cells, self.waiting, self.some = np.zeros(1 << CELL_BITS, np.uint32), [], 0
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.waiting.append(cell_of(tokens))
+        self.some += len(tokens)
+        if self.some > len(self.cells):
+            self._count()
+
+    def _count(self) -> None:
+        if self.waiting:
+            self.cells += np.bincount(np.concatenate(self.waiting), minlength=len(self.cells)).astype(np.uint32)
+        self.waiting, self.some = [], 0
 
+    def rows(self) -> tuple[pa.Array, pa.Array]:
+        self._count()
+        parts = [(k, p.tobytes()) for k, p in enumerate(np.split(self.cells, SLICES)) if p.any()]
+        return pa.array([k for k, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())
 
-def prefix(tokens: np.ndarray, level: np.ndarray, percent: int, part: int) -> np.ndarray:
-    """The prefix as signed numbers; the lowest bit tells whether the token is hot."""
-    own = level[(tokens >> U64(64 - CELL_BITS)).astype(np.int64)]
-    at = np.argsort(own, kind="stable")[: prefix_length(len(tokens), percent, part)]
-    return ((tokens[at] & ~U64(1)) | (own[at] >= HOT_LEVEL).astype(U64)).view(np.int64)
 
+def rarity(parts: DataFrame) -> Rarity:
+    """From the rows (k, part) of all tasks; the driver gets one array of a fixed size."""
 
-def prefixes(tokens: np.ndarray, offsets: np.ndarray, level: np.ndarray, percent: int, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """The prefixes of many sets (distinct, sorted by hash) at once, and their offsets."""
+    def reduce(key, rows):
+        total = np.zeros((1 << CELL_BITS) // SLICES, np.uint64)
+        for part in rows.column("part"):
+            total += np.frombuffer(part.as_buffer(), np.uint32)
+        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+
+    cells = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), np.uint32)
+    for k, part in parts.select("k", "part").groupBy("k").applyInArrow(reduce, "k int, part binary").collect():
+        cells[k] = np.frombuffer(part, np.uint32)
+    return Rarity.of(cells.ravel())
+
+
+def by_rarity(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Distinct tokens, sorted by hash, in the order of rarity."""
+    return tokens[np.argsort(level[cell_of(tokens)], kind="stable")]
+
+
+def prefixes(tokens: np.ndarray, offsets: np.ndarray, order: Rarity, percent: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefixes of many sets (distinct, sorted by hash) at once, tokens with their salt bits, and their offsets."""
     n = np.diff(offsets)
-    own = level[(tokens >> U64(64 - CELL_BITS)).astype(np.int64)]
-    set_ = np.repeat(np.arange(len(n)), n)
-    at = np.argsort(set_ * 64 + own, kind="stable")
+    cell = cell_of(tokens)
+    own = order.level[cell].astype(np.int64)
+    at = np.argsort(np.repeat(np.arange(len(n)), n) * 64 + own, kind="stable")
     rank = np.arange(len(tokens)) - np.repeat(offsets[:-1], n)
     size = prefix_length(n, percent, part)
     at = at[rank < np.repeat(size, n)]
-    return ((tokens[at] & ~U64(1)) | (own[at] >= HOT_LEVEL).astype(U64)).view(np.int64), np.concatenate([[0], np.cumsum(size)])
+    return (tokens[at] & ~U64(SALT_MASK)) | order.salts[cell[at]].astype(U64), np.concatenate([[0], np.cumsum(size)])
 
 
 def signatures(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures of many sets that are not empty."""
-    at = offsets[:-1]
-    if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.add.reduceat(tokens, at).view(np.int64), np.bitwise_xor.reduceat(mix64(tokens + U64(0x632BE59BD9B4E019)), at).view(np.int64)
+    """128 bits that equal sets share, for many sets; 0 for empty ones."""
+    out = np.zeros((2, len(offsets) - 1), np.int64)
+    full = np.diff(offsets) > 0
+    at = offsets[:-1][full]
+    if len(at):
+        out[0, full] = np.add.reduceat(tokens, at).view(np.int64)
+        out[1, full] = np.bitwise_xor.reduceat(mix64(tokens + U64(0x632BE59BD9B4E019)), at).view(np.int64)
+    return out[0], out[1]
 
 
-def signature(tokens: np.ndarray) -> tuple[int, int]:
-    """128 bits that equal sets share."""
-    a = int(np.sum(tokens, dtype=U64))
-    b = int(np.bitwise_xor.reduce(mix64(tokens + U64(0x632BE59BD9B4E019)))) if len(tokens) else 0
-    return a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63)
+class Seen:
+    """Sets that a task has met, with the first places it remembers, in a table of fixed size.
 
+    What it says is true, but it forgets: of equal sets it may tell only some.
+    """
 
-def candidate_groups(items: DataFrame, percent: int, part: int) -> DataFrame:
-    """From (id, n, prefix) of sets: (id, group) of the ids that may link with another id.  Rows that repeat an id count once."""
-    posts = items.select("id", "n", F.explode("prefix").alias("token"))
-    hot = F.col("token").bitwiseAND(F.lit(1)) == 1
-    posts = posts.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
-    within = W.partitionBy("token", "salt").orderBy("n", "id")
+    def __init__(self, bits: int = 16):
+        self.bits = bits
+        self.keys, self.places = np.zeros((3, 1 << bits), np.int64), np.full((2, 1 << bits), np.iinfo(np.int64).max)
+
+    def earlier(self, s1: np.ndarray, s2: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For sets at places (a, b): whether an equal one is known at a smaller place, and that one's a."""
+        size = len(s1)
+        known, twin = np.zeros(size, bool), a.copy()
+        if not size:
+            return known, twin
+        by = np.lexsort((b, a, n, s2, s1))
+        new = np.append(True, np.any([x[by[1:]] != x[by[:-1]] for x in (s1, s2, n)], axis=0))
+        head = by[np.flatnonzero(new)]
+        lead = head[np.cumsum(new) - 1]
+        known[by] = (a[by] != a[lead]) | (b[by] != b[lead])
+        twin[by] = a[lead]
+        slot = (mix64(s1[head].view(U64)) >> U64(64 - self.bits)).astype(np.int64)
+        same = (self.keys[:, slot] == np.stack([s1[head], s2[head], n[head]])).all(0)
+        pa_, pb = self.places[:, slot]
+        before = same & ((pa_ < a[head]) | (pa_ == a[head]) & (pb < b[head]))
+        known[head], twin[head[before]] = before, pa_[before]
+        put = np.flatnonzero(~before)
+        put = put[np.unique(slot[put], return_index=True)[1]]
+        self.keys[:, slot[put]] = np.stack([s1[head], s2[head], n[head]])[:, put]
+        self.places[:, slot[put]] = np.stack([a[head], b[head]])[:, put]
+        return known, twin
+
+
+def pack(tokens: np.ndarray, ids: np.ndarray, sizes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Postings (token, id, set size) as a row (bucket, postings) for each bucket that they fall in.
+
+    Bytes of equal weight stand together, so that those that hardly vary take no room when shuffled.
+    """
+    salt = mix64(ids.view(U64)) & ((U64(1) << (tokens & U64(SALT_MASK))) - U64(1))
+    bucket = (mix64(tokens + salt * U64(0x9E3779B97F4A7C15)) & U64(buckets - 1)).astype(np.int32)
+    by = np.argsort(bucket.astype(U64) << U64(42) | tokens >> U64(22))
+    data = np.empty((len(by), 20), np.uint8)
+    data[:, :8], data[:, 8:16], data[:, 16:] = (x[by].view(np.uint8).reshape(len(by), x.itemsize) for x in (tokens, ids, sizes.astype(np.uint32)))
+    bucket = bucket[by]
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(by) else np.zeros(0, np.int64)
+    ends = np.append(at[1:], len(by))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array([data[a:b].T.tobytes() for a, b in zip(at, ends, strict=False)], pa.binary())], ["bucket", "postings"])
+
+
+PACKED = "bucket int, postings binary"
+
+
+def unpack(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = [np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(20, -1).T) for x in rows.column("postings")]
+    parts = [(d[:, :8], d[:, 8:16], d[:, 16:]) for d in data]
+    kinds = (np.uint64, np.int64, np.uint32)
+    return tuple(np.concatenate([np.ascontiguousarray(p[k]).view(kind).ravel() for p in parts]) for k, kind in enumerate(kinds))
 
-    def chained(rows: DataFrame) -> DataFrame:
-        """Postings whose list holds a neighbour of a size that can link, and that neighbour."""
-        near = rows.withColumn("before", F.lag("id").over(within)).withColumn("n0", F.lag("n").over(within)).withColumn("n1", F.lead("n").over(within))
-        down, up = F.coalesce(F.col("n") * percent <= F.col("n0") * 100, F.lit(False)), F.coalesce(F.col("n1") * percent <= F.col("n") * 100, F.lit(False))
-        return near.filter(down | up | hot).withColumn("before", F.when(down, F.col("before"))).drop("n0", "n1")
 
-    again = F.lag("id").over(within).eqNullSafe(F.col("id"))
+def _as_before(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row equals the one before it."""
+    out = np.zeros(len(columns[0]), bool)
+    out[1:] = np.all([c[1:] == c[:-1] for c in columns], axis=0)
+    return out
+
+
+def chain(tokens: np.ndarray, ids: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Postings whose list holds a neighbour, in order of size, that can link: ids, sizes, tokens, salts, neighbours before (-1: none) and whether there is one.
+
+    Salted lists stay whole, as neighbours may be in other parts.
+    """
+    by = np.argsort(tokens)
+    t = tokens[by]
+    equal = _as_before(t)
+    some = equal | np.append(equal, False)[1:] | ((t & U64(SALT_MASK)) > 0)
+    by = by[some]
+    t, i, n = tokens[by], ids[by], sizes[by].astype(np.int64)
+    salt = (mix64(i.view(U64)) & ((U64(1) << (t & U64(SALT_MASK))) - U64(1))).astype(np.int64)
+    by = np.lexsort((i, n, salt, t))
+    t, i, n, salt = t[by], i[by], n[by], salt[by]
+    again = _as_before(t, i)
+    t, i, n, salt = t[~again], i[~again], n[~again], salt[~again]
+    down = _as_before(t, salt) & (n * percent <= 100 * np.roll(n, 1))
+    stay = down | np.append(down, False)[1:] | ((t & U64(SALT_MASK)) > 0)
+    before = np.roll(i, 1)
+    return i[stay], n[stay], t[stay].view(np.int64), salt[stay], before[stay], down[stay]
+
+
+def candidate_groups(packed: DataFrame, percent: int, part: int) -> DataFrame:
+    """From packed postings (bucket, postings) of sets' prefixes: (id, group) of the ids that may link with another id.
+
+    Postings that repeat a token and an id count once.
+    """
+
+    def first_chains(rows: pa.Table) -> pa.Table:
+        i, n, t, salt, before, down = chain(*unpack(rows), percent)
+        out = pa.table({"id": pa.array(i), "n": pa.array(n), "token": pa.array(t), "salt": pa.array(salt.astype(np.int32)), "before": pa.array(before, mask=~down)})
+        give_back()
+        return out
+
+    shared = saved(packed.groupBy("bucket").applyInArrow(first_chains, "id long, n long, token long, salt int, before long"))
+    hot = F.col("token").bitwiseAND(F.lit(SALT_MASK)) > 0
     # the smallest partner has percent of the tokens, and its number of shared prefix tokens
-    shared = saved(chained(posts.withColumn("again", again).filter("NOT again").drop("again")), sweep=True)
-    for _ in range(PRUNINGS):
-        fit = shared.groupBy("id", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= 1 + F.floor(F.ceil(F.col("n") * percent / 100) / part))
-        wider, shared = shared, saved(chained(likely(shared.drop("before"), "id", fit.select("id"))), sweep=True)
-        discard(wider)
-    links = shared.filter("before IS NOT NULL").select(F.least("before", "id").alias("a"), F.greatest("before", "id").alias("b")).distinct()
-    # the salted parts of a hot token: each one's first posting joins the first of all
-    heads = shared.filter(hot & F.col("before").isNull())
+    fit = shared.drop("before").withColumn("k", F.count("*").over(W.partitionBy("id"))).filter(F.col("k") >= 1 + F.floor(F.ceil(F.col("n") * percent / 100) / part))
+    within = W.partitionBy("token", "salt").orderBy("n", "id")
+    near = fit.withColumn("last", F.lag("id").over(within)).withColumn("n0", F.lag("n").over(within)).withColumn("n1", F.lead("n").over(within))
+    down, up = F.coalesce(F.col("n") * percent <= F.col("n0") * 100, F.lit(False)), F.coalesce(F.col("n1") * percent <= F.col("n") * 100, F.lit(False))
+    again = saved(near.filter(down | up | hot).select("id", "token", F.when(down, F.col("last")).alias("before")))
+    discard(shared)
+    links = again.filter("before IS NOT NULL").select(F.least("before", "id").alias("a"), F.greatest("before", "id").alias("b"))
+    # the salted parts of a hot token: each one's first postings join the first of all
+    heads = again.filter(hot & F.col("before").isNull())
     least = heads.groupBy("token").agg(F.min("id").alias("least"))
     joined = heads.join(least, "token").filter("least < id").select(F.col("least").alias("a"), F.col("id").alias("b"))
     found = components(links.union(joined), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("group"))
-    discard(shared)
+    discard(again)
     return found
 
 
 def blocks(members: DataFrame, order: str) -> DataFrame:
-    """Adds pair, the block pair, to members (group, n, order, ...); a member of a large group is repeated for each of its pairs.
+    """Adds bin and pair to members (group, n, order, ...), which name the task that compares a member with others.
 
-    Members of a group with one member are left out.
+    Small groups share bins, as their members cannot link with each other's.  Large groups are dealt into blocks, and a member is
+    repeated for each pair of blocks that its own is in: side is its block within the pair, inside whether this pair is the one that
+    compares the members of that block with each other.  Members of a group with one member are left out.
     """
     size = members.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1")
+    all_sets, all_tokens = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bins = 1 << max(0, int(max(all_sets // BLOCK_SETS, all_tokens // BLOCK_TOKENS)).bit_length())
     m = members.join(size, F.col("group") == F.col("g")).drop("g")
     parts = F.greatest(F.ceil(F.col("sets") / (2 * BLOCK_SETS)), F.ceil(F.col("tokens") / (2 * BLOCK_TOKENS)))
     parts = F.when(parts > 1, 2 * parts).otherwise(parts).cast("int")
@@ -151,17 +287,23 @@ def blocks(members: DataFrame, order: str) -> DataFrame:
     m = m.withColumn("parts", parts).withColumn("own", own).drop("sets", "tokens")
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != F.col("own")))
     m = m.withColumn("other", F.explode(others))
-    return m.withColumn("pair", F.least("own", "other") * F.lit(1 << 20) + F.greatest("own", "other")).drop("parts", "own", "other")
+    low, high, small = F.least("own", "other"), F.greatest("own", "other"), F.col("parts") == 1
+    home = F.when(F.col("own") < F.col("parts") - 1, F.col("other") == F.col("own") + 1).otherwise(F.col("other") == F.col("own") - 1)
+    m = m.withColumn("bin", F.when(small, F.pmod(F.xxhash64("group"), F.lit(bins))).otherwise(F.col("group")))
+    m = m.withColumn("pair", F.when(small, F.lit(-1)).otherwise(low * F.lit(1 << 20) + high))
+    m = m.withColumn("side", (F.col("own") > F.col("other")).cast("int")).withColumn("inside", small | home)
+    return m.drop("parts", "own", "other", "group")
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
     """A bitmap of the hashed ids (id), of 2^FILTER_BITS bits whatever their number: it only saves work, joins decide."""
 
     def make(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
         for b in batches:
-            bits[filter_cell(np.asarray(b.column(0), np.int64))] = True
-        return np.packbits(bits)
+            cell = filter_cell(np.asarray(b.column(0), np.int64))
+            np.bitwise_or.at(bits, cell >> 3, (128 >> (cell & 7)).astype(np.uint8))
+        return bits
 
     return merged(ids.select(F.col("id").cast("long").alias("id")), make, 1 << FILTER_BITS - 3, "u1", np.bitwise_or)
 
@@ -192,27 +334,3 @@ def binary_sets(sets: list[np.ndarray]) -> pa.Array:
 
 def unpack_sets(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), U64) for x in column]
-
-
-class Forest:
-    """Union-find over 0 .. n - 1 with sizes."""
-
-    def __init__(self, n: int):
-        self.up, self.size = list(range(n)), [1] * n
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        if x == y:
-            return False
-        if self.size[x] < self.size[y]:
-            x, y = y, x
-        self.up[y] = x
-        self.size[x] += self.size[y]
-        return True

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,25 +15,60 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch that goes to a Python worker: operators on texts and vectors hold a few of them at a time.
+BATCH_BYTES = 4 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a local session (tests) gets one of its own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="saved-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def saved(df: DataFrame, sweep: bool = False) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes: rows may hold long texts, so their number says little."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, whose worker gives freed memory back at the end: workers live on between stages."""
+
+    def trimmed(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return trimmed
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def saved(df: DataFrame) -> DataFrame:
     """The rows of df, written once as a table in the shared folder: it cuts the lineage and outlives lost executors.
 
-    With sweep, the driver then collects its garbage, so that Spark deletes the shuffle files that led to the table.
+    The shuffle files that led to the table are removed once it is written.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if sweep:
-        df.sparkSession.sparkContext._jvm.System.gc()
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, key = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    table = spark.read.schema(df.schema).parquet(path)
     table._saved_at = path
     return table
 
@@ -73,25 +111,23 @@ def merged(df: DataFrame, make, size: int, dtype: str, combine, slices: int = 64
 
 
 def hashed_rows(df: DataFrame, key: str, id_col: str, rows: int) -> DataFrame:
-    """(id, key) of at most `rows` rows for each value of key, those with the smallest hashes of the id.
+    """(id, key, h) of about `rows` rows, seldom more, for each value of key that is not null: those whose hash h of the id is low enough.
 
-    Counts by value (a label of a classifier: few values) give a bound on the hash that about twice as many rows meet, so only
-    these are ranked.
+    A value's count sets its limit, so nothing is ranked; values of a label are few, and only their counts are joined.
     """
+    known = df.select(id_col, key).filter(F.col(key).isNotNull() & F.col(id_col).isNotNull()).distinct()
+    counts = known.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n"))
     unit = F.pmod(F.xxhash64(id_col), F.lit(1 << 31)) / float(1 << 31)
-    bound = F.lit(1.0)
-    for value, n in df.filter(F.col(key).isNotNull()).groupBy(key).count().collect():
-        bound = F.when(F.col(key) == F.lit(value), F.lit((2.0 * rows + 100) / n)).otherwise(bound)
-    near = df.select(id_col, key).filter(F.col(key).isNotNull() & (unit <= bound))
-    return near.withColumn("__k", F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(id_col), id_col))).filter(F.col("__k") <= rows).drop("__k").distinct()
+    limit = max(1.0, rows - 2 * rows**0.5)
+    return known.join(counts, F.col(key) == F.col("__key")).filter(unit * F.col("__n") <= limit).select(id_col, key, F.xxhash64(id_col).alias("h"))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected graph: (node, component), component being the smallest node of its component.
 
     Each round moves every node to the neighbour that comes first in a random order and contracts the edges, which leaves a
-    constant fraction of the nodes; the moves are then followed back.  Nodes of any degree are only aggregated, with partial
-    sums, never gathered.  Loops (a, a) are allowed and give single nodes.
+    constant fraction of the nodes; the moves are then followed back.  Nodes of any degree are aggregated with partial sums or met
+    in plain joins of two saved tables, which Spark splits where a key is skewed.  Loops (a, a) are allowed and give single nodes.
     """
     rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
     now = saved(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).distinct())
@@ -117,6 +153,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             root = least.join(up, "to", "left").select("u", F.coalesce("root", "to").alias("root"))
     if root is None:
         return nodes.select(F.col("u").alias("node"), F.col("u").alias("component"))
-    labelled = nodes.join(root, "u", "left").select("u", F.coalesce("root", "u").alias("root"))
-    name = labelled.groupBy("root").agg(F.min("u").alias("component"))
-    return labelled.join(name, "root").select(F.col("u").alias("node"), "component")
+    # written apart, so that Spark can split the join of a root with very many nodes
+    labelled = saved(nodes.join(root, "u", "left").select("u", F.coalesce("root", "u").alias("root")))
+    name = saved(labelled.groupBy("root").agg(F.min("u").alias("component")).filter("root <> component"))
+    discard(nodes, *moves)
+    return labelled.join(name, "root", "left").select(F.col("u").alias("node"), F.coalesce("component", "root").alias("component"))

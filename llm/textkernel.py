@@ -16,6 +16,8 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 on an array of unsigned 64-bit numbers."""
     x = x.astype(U64, copy=True)
@@ -143,7 +145,7 @@ def distinct_flat(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return v[new], np.concatenate([[0], np.cumsum(np.bincount(ids[new].astype(np.int64), minlength=n))]).astype(np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 21):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 19):
     """The batch in runs of rows of about limit bytes of text; a longer text is a run of its own."""
     size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
     run = np.cumsum(size) // limit
