@@ -2,22 +2,22 @@
 
 For each language, a variable-order context tree over bytes: contexts of 3, 2, 1 and 0 bytes with escape probabilities of
 method C.  In a context that was followed by ``t`` bytes, ``d`` of them different, a byte seen ``c`` times gets ``c / (t + d)``
-and the escape to the next shorter context ``d / (t + d)``; a context never seen costs nothing; below order 0 all symbols are
+and the escape to the next shorter context ``d / (t + d)``; a context never seen costs nothing; below order 0 all 256 bytes are
 equally likely.  Statistics are frozen after fitting, so a text's code length in a language is a sum over its bytes, each
-looked up in tables that hold the exact code length of every (context, byte).  The language with the shortest code wins; the
-score is its posterior probability under equal priors.
+looked up in tables of the strings that any language's tree has.  The language with the shortest code wins; the score is its
+posterior probability under equal priors.
 
-Bytes are mapped to 64 symbols: A-Z as a-z (texts are lower-cased first), digits as one, the other bytes that the training
-texts use most each as one, the rest as one; each text begins after three boundary symbols.
+Texts are lower-cased, and each begins after three zero bytes.  The trees grow from at most ``rows_per_language`` rows of each language,
+none with a text over ``most_bytes``.
 
 Edge cases: a null text or one without a letter (Unicode category L) is ``und`` with score 0, as is everything if there are no
 training rows; the smallest name wins ties; repeated rows are scored alike; an empty table gives an empty result; further
-columns are ignored.  Whole texts are read, however long.
+columns are ignored by predict and passed through by annotate.  Whole texts are read, however long.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,129 +26,166 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import hashed_rows
-from .textkernel import buffers, slices
-
-#: Training rows of each language at most; they are those with the smallest hash of the id.
-ROWS_PER_LANGUAGE = 400
-_A, _BITS = 64, 6
+from .shared import hashed_rows, lean, small_batches
+from .textkernel import U64, buffers, mix64, slices
+
+#: Training rows of each language at most, those with the smallest hash of the id, and bytes of such a row's text.
+ROWS_PER_LANGUAGE, MOST_BYTES = 400, 1 << 16
+_ORDER = 3
+
+
+class Places:
+    """Where numbers stand in a sorted array: hash tables in which every number has a slot of its own in one of them."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.tables = keys, []
+        left = np.arange(len(keys))
+        while len(left):
+            bits = max(4, int(4 * len(left)).bit_length())
+            odd = mix64(np.array([len(self.tables) + 11], U64))[0] | U64(1)
+            table = np.full(1 << bits, -1, np.int32)
+            slot = keys[left].astype(U64) * odd >> U64(64 - bits)
+            table[slot] = left
+            self.tables.append((odd, U64(64 - bits), table))
+            left = left[table[slot] != left]
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """-1 where a number is not there."""
+        out, left = np.full(len(wanted), -1, np.int64), np.arange(len(wanted))
+        for odd, shift, table in self.tables:
+            value = wanted[left]
+            at = table[value.astype(U64) * odd >> shift]
+            hit = (at >= 0) & (self.keys[at] == value)
+            out[left[hit]] = at[hit]
+            # a number that is in a later table met another one here
+            left = left[~hit & (at >= 0)]
+            if not len(left):
+                break
+        return out
 
 
 @dataclass
 class PPM:
-    """Frozen statistics.  seen4: packed 4-symbol strings; cost4: their code lengths; escape3: by context; cost3: of 3-symbol strings."""
+    """Frozen statistics: code lengths, by language, of 2-byte strings, of the 3- and 4-byte strings seen, and of escapes from contexts.
+
+    Strings are numbers with the last byte lowest.  cost2, escape2: by all 2-byte strings; seen3 and cost3, seen4 and cost4: strings that
+    any tree has; context3 and escape3: the contexts of order 3 that any tree has.
+    """
 
     languages: list[str]
-    symbol: np.ndarray
+    cost2: np.ndarray
+    escape2: np.ndarray
+    seen3: np.ndarray
+    cost3: np.ndarray
+    context3: np.ndarray
+    escape3: np.ndarray
     seen4: np.ndarray
     cost4: np.ndarray
-    escape3: np.ndarray
-    cost3: np.ndarray
-    _slot: np.ndarray | None = field(default=None, repr=False, compare=False)
+    _places: tuple[Places, ...] | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_slot": None}
+        return self.__dict__ | {"_places": None}
 
     def code_lengths(self, texts: pa.Array) -> np.ndarray:
         """Bits of each text (lower-cased here) in each language."""
-        if self._slot is None:
-            self._slot = np.zeros(1 << 4 * _BITS, np.int32)
-            self._slot[self.seen4] = np.arange(1, len(self.seen4) + 1)
-        codes, begin = _codes(texts, self.symbol)
+        if self._places is None:
+            self._places = tuple(map(Places, (self.seen4, self.context3, self.seen3)))
+        codes, begin = _codes(texts)
         if not len(codes):
             return np.zeros((len(texts), len(self.languages)))
-        p3, p4 = _packed(codes, 3), _packed(codes, 4)
-        slot = self._slot[p4]
-        bits = self.cost4[slot - 1]
-        new = np.flatnonzero(slot == 0)
-        bits[new] = self.escape3[p4[new] >> _BITS] + self.cost3[p3[new]]
-        inside = np.ones(len(codes), bool)
-        inside[(begin[:-1, None] + np.arange(3)).ravel()] = False
-        bits[~inside] = 0
+        strings = _packed(codes, _ORDER + 1)
+        at = self._places[0].find(strings)
+        bits = self.cost4[at]
+        new = np.flatnonzero(at < 0)
+        bits[new] = self._escaped(strings[new])
+        bits[_heads(begin)] = 0
         return np.add.reduceat(bits, begin[:-1], axis=0, dtype=np.float64)
 
+    def _escaped(self, strings: np.ndarray) -> np.ndarray:
+        """Bits of 4-byte strings that no tree has."""
+        out = np.zeros((len(strings), len(self.languages)), np.float32)
+        at = self._places[1].find(strings >> np.uint32(8))
+        known = np.flatnonzero(at >= 0)
+        out[known] = self.escape3[at[known]]
+        three = strings & np.uint32(0xFFFFFF)
+        at = self._places[2].find(three)
+        known, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        out[known] += self.cost3[at[known]]
+        out[new] += self.escape2[three[new] >> np.uint32(8)] + self.cost2[three[new] & np.uint32(0xFFFF)]
+        return out
+
 
-def _codes(texts: pa.Array, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, three boundary symbols before each, and the n + 1 offsets."""
+def _heads(begin: np.ndarray) -> np.ndarray:
+    return (begin[:-1, None] + np.arange(_ORDER)).ravel()
+
+
+def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts, three zeros before each, and the n + 1 offsets."""
     raw, offsets = buffers(pc.utf8_lower(texts))
     n = len(offsets) - 1
-    begin = offsets + 3 * np.arange(n + 1)
-    out = np.zeros(begin[-1] if n else 0, np.uint32)
+    begin = offsets + _ORDER * np.arange(n + 1)
+    out = np.zeros(begin[-1] if n else 0, np.uint8)
     where = np.ones(len(out), bool)
     if n:
-        where[(begin[:-1, None] + np.arange(3)).ravel()] = False
-    out[where] = symbol[raw]
+        where[_heads(begin)] = False
+    out[where] = raw
     return out, begin
 
 
 def _packed(codes: np.ndarray, k: int) -> np.ndarray:
-    """At each place, the k symbols that end there as one number."""
-    out = codes.copy()
+    """At each place, the k bytes that end there as one number."""
+    out = codes.astype(np.uint32)
     for j in range(1, k):
-        out[j:] |= codes[:-j] << np.uint32(_BITS * j)
-    return out
-
-
-def _symbols(texts: pa.Array) -> np.ndarray:
-    raw, _ = buffers(pc.utf8_lower(texts))
-    count = np.bincount(raw, minlength=256)
-    out = np.full(256, 1, np.uint32)
-    out[48:58] = 2
-    count[48:58] = 0
-    for k, b in enumerate(np.argsort(-count, kind="stable")[: _A - 3]):
-        if count[b]:
-            out[b] = k + 3
+        out[j:] |= codes[:-j].astype(np.uint32) << np.uint32(8 * j)
     return out
 
 
-def _orders(codes: np.ndarray, begin: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For orders 0 to 3: strings of order + 1 symbols that occur, with counts."""
+def _order(codes: np.ndarray, begin: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Strings of order + 1 bytes of one language's texts and their bits; their contexts and the bits of the escape from each."""
     inside = np.ones(len(codes), bool)
-    inside[(begin[:-1, None] + np.arange(3)).ravel()] = False
-    return [np.unique(_packed(codes, k + 1)[inside] & np.uint32((1 << _BITS * (k + 1)) - 1), return_counts=True) for k in range(4)]
-
-
-def _tree(codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one language: 4-symbol strings seen, their bits; bits of the escape from each 3-symbol context; bits of each 3-symbol string."""
-    cost = np.full(1, np.log2(_A))
-    for order, (strings, counts) in enumerate(_orders(codes, begin)):
-        context = strings >> np.uint32(_BITS)
-        total = np.bincount(context, counts, minlength=1 << _BITS * order)
-        kinds = np.bincount(context, minlength=1 << _BITS * order)
-        with np.errstate(divide="ignore"):
-            escape = np.where(kinds > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0.0)
-        bits = -np.log2(counts / (total + kinds)[context])
-        if order == 3:
-            return strings, bits, escape, cost
-        full = np.arange(1 << _BITS * (order + 1))
-        shorter = full & ((1 << _BITS * order) - 1) if order else np.zeros(len(full), int)
-        cost = escape[full >> _BITS] + cost[shorter]
-        cost[strings] = bits
-    raise AssertionError
+    inside[_heads(begin)] = False
+    strings, counts = np.unique(_packed(codes, order + 1)[inside], return_counts=True)
+    context, first, kinds = np.unique(strings >> np.uint32(8), return_index=True, return_counts=True)
+    total = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
+    return strings, -np.log2(counts / np.repeat(total + kinds, kinds)), context, -np.log2(kinds / (total + kinds))
+
+
+def _fill(seen: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], base: np.ndarray | float = 0.0) -> np.ndarray:
+    """By string in seen and language: the language's value, else the base."""
+    out = np.empty((len(seen), len(tables)))
+    out[:] = base
+    for k, (strings, values) in enumerate(tables):
+        out[np.searchsorted(seen, strings), k] = values
+    return out
 
 
 def fit(texts: pa.Array, languages: list[str]) -> PPM:
     """Trees from labelled texts, one for each language."""
-    symbol = _symbols(texts)
     names = sorted(set(languages))
-    trees = [_tree(*_codes(texts.take(pa.array([i for i, x in enumerate(languages) if x == name])), symbol)) for name in names]
-    seen = np.unique(np.concatenate([t[0] for t in trees])) if trees else np.zeros(0, np.uint32)
-    low = (1 << 3 * _BITS) - 1
-    cost4 = np.zeros((len(seen), len(names)), np.float32)
-    for k, (strings, bits, escape, cost) in enumerate(trees):
-        cost4[:, k] = escape[seen >> _BITS] + cost[seen & low]
-        cost4[np.searchsorted(seen, strings), k] = bits
-    stack = lambda j: np.stack([t[j] for t in trees], 1).astype(np.float32) if trees else np.zeros((low + 1, 0), np.float32)
-    return PPM(names, symbol, seen.astype(np.int64), cost4, stack(2), stack(3))
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> PPM:
-    """Fits on at most rows_per_language rows of each language, chosen by a hash of the id."""
-    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), F.col(lang_col).alias("l"))
+    own = [_codes(texts.take(pa.array([i for i, x in enumerate(languages) if x == name]))) for name in names]
+    trees = [[_order(*codes, k) for codes in own] for k in range(_ORDER + 1)]
+    strings, escapes = [[t[:2] for t in tree] for tree in trees], [[t[2:] for t in tree] for tree in trees]
+    union = lambda parts: np.unique(np.concatenate([p[0] for p in parts])) if parts else np.zeros(0, np.uint32)
+    one, two = np.arange(256), np.arange(1 << 16)
+    cost1 = _fill(one, strings[0], _fill(one[:1], escapes[0]) + 8.0)
+    cost2 = _fill(two, strings[1], _fill(one, escapes[1])[two >> 8] + cost1[two & 0xFF])
+    escape2 = _fill(two, escapes[2])
+    seen3, context3, seen4 = union(strings[2]), union(escapes[3]), union(strings[3])
+    cost3 = _fill(seen3, strings[2], escape2[seen3 >> np.uint32(8)] + cost2[seen3 & np.uint32(0xFFFF)])
+    escape3 = _fill(context3, escapes[3])
+    # the last three bytes of a string that is there are there too, in the same language's tree
+    cost4 = _fill(seen4, strings[3], escape3[np.searchsorted(context3, seen4 >> np.uint32(8))] + cost3[np.searchsorted(seen3, seen4 & np.uint32(0xFFFFFF))])
+    return PPM(names, *(x.astype(np.float32) if x.dtype == np.float64 else x for x in (cost2, escape2, seen3, cost3, context3, escape3, seen4, cost4)))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, most_bytes: int = MOST_BYTES) -> PPM:
+    """Fits on at most rows_per_language rows of each language, chosen by a hash of the id, of texts of most_bytes at most."""
+    rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter(F.octet_length("t") <= most_bytes)
     ids = hashed_rows(rows, "l", "d", rows_per_language)
-    sample = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).join(F.broadcast(ids), ["d", "l"]).orderBy("l", "d").toArrow()
-    texts = sample.column("t").combine_chunks()
-    return fit(texts, sample.column("l").to_pylist())
+    sample = rows.join(F.broadcast(ids), ["d", "l"]).toArrow().sort_by([("l", "ascending"), ("h", "ascending"), ("d", "ascending")])
+    names = sample.column("l").to_pylist()
+    keep = [k for k in range(len(names)) if k < rows_per_language or names[k - rows_per_language] != names[k]]
+    return fit(sample.column("t").take(pa.array(keep, pa.int64())).combine_chunks(), [names[k] for k in keep])
 
 
 def has_letter(text: str | None) -> bool:
@@ -163,6 +200,7 @@ def predict(docs: DataFrame, model: PPM, id_col: str = "doc_id", text_col: str =
 
 def annotate(docs: DataFrame, model: PPM, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score and bits_per_byte, which replace columns of these names."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score", "bits_per_byte")
 
@@ -187,4 +225,4 @@ def annotate(docs: DataFrame, model: PPM, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(name, pa.string()), pa.array(score), pa.array(least / np.maximum(size, 1))], [*b.schema.names, "lang_pred", "score", "bits_per_byte"])
 
     schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
