@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import lean, saved, small_batches
 
 #: Distinct units whose ids a worker keeps.
-CACHE_UNITS = 200_000
+CACHE_UNITS = 100_000
 MOST_BLOCKS = 2048
 
 
@@ -61,11 +62,12 @@ class _Units(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
+def encoder(path: str, split_added: bool = True):
     """A function from a text to the bytes of its ids, for a byte-level BPE vocabulary file of the tokenizers library.
 
     Tokens are those of that library; the merging itself is done by tiktoken, which is about five times as fast, on the ranks
-    read from the file.
+    read from the file.  As there, the file's added tokens are ids of their own where a text holds them; without split_added
+    (the library's encode_special_tokens) they are ordinary text.
     """
     import tiktoken
 
@@ -73,21 +75,40 @@ def encoder(path: str):
         spec = json.load(f)
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
-    special = {x["content"] for x in spec.get("added_tokens", [])}
-    ranks = {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+    if any(x.get(k) for x in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens with rules of their own are not supported")
+    ranks = {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     encode = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     first, later = _Units(encode, ""), _Units(encode, " ")
+    # the longest of several that start at one place
+    stops = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added and split_added else None
+    marks = {x: np.array([i], "<u4").tobytes() for x, i in added.items()}
 
-    def ids(text: str) -> bytes:
-        if not text:
-            return b""
+    def part(text: str) -> bytes:
         units = text.replace("\n", " \n").split(" ")
         try:
             return first[units[0]] + b"".join(map(later.__getitem__, units[1:]))
         except TypeError:
             return np.array(encode(text), "<u4").tobytes()
 
+    def ids(text: str) -> bytes:
+        if not text:
+            return b""
+        if stops is None or not (m := stops.search(text)):
+            return part(text)
+        out, at = [], 0
+        while m:
+            if m.start() > at:
+                out.append(part(text[at : m.start()]))
+            out.append(marks[m[0]])
+            at = m.end()
+            m = stops.search(text, at)
+        if at < len(text):
+            out.append(part(text[at:]))
+        return b"".join(out)
+
     return ids
 
 
@@ -115,7 +136,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str =
             if rows:
                 yield _batch(rows, with_ids)
 
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(cut, schema)
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(lean(cut), schema)
 
 
 def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
@@ -264,7 +286,7 @@ def place(parts: DataFrame, capacity: int = 2048) -> DataFrame:
             sequence, slot = np.divmod(nth - first[k], per[k])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(start[k] + sequence), pa.array(offs[at[k] + slot])], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(fill, schema)
+    return ranked.mapInArrow(lean(fill), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
