@@ -61,21 +61,13 @@ def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
-def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole operator: one row for each copy taken, in training order; what is taken of each document is op6_source_mixing."""
-    from .shared import saved
-    from .source_mixing import curriculum, mix, words
-
-    docs = saved(table(spark, sf_dir, "documents").select("doc_id", "source", words().alias("size")))
-    return curriculum(mix(docs)).select("doc_id", "size", "source_size", "target", "taken", "position")
-
-
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, in the training order of its first copy."""
     from .shared import saved
-    from .source_mixing import mix, words
+    from .source_mixing import mix, training_order, words
 
     docs = saved(table(spark, sf_dir, "documents").select("doc_id", "source", words().alias("size")))
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return training_order(mix(docs)).select("doc_id", "size", "source_size", "target", "taken", "n_copies", "first_position", "last_position")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +101,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_jaccard, op3_html_extract, op4_line_dedup, op5_bestfit_packing, op6_training_order, op6_source_mixing, op7_license_scan, op8_line_quality, op9_toxicity, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_jaccard, op3_html_extract, op4_line_dedup, op5_bestfit_packing, op6_source_mixing, op7_license_scan, op8_line_quality, op9_toxicity, op10_language_id)}
 
 SQL: dict[str, str] = {"op6_source_mixing": source_mixing.SQL}

@@ -12,6 +12,8 @@ The curriculum is the copies in order of position.
 Sums along a source are taken in two levels (blocks by a hash of the id, then within a block), so a source of any size is spread
 over all tasks.  Only one row for each (source, block) is summed by source, and one row for each source overall.
 
+Copies of equal positions, which only documents of different sources have, stand in any order.
+
 Edge cases: a null text has 0 words, as an empty one; such documents are never taken; a null source is a source of its own, last in
 order; repeated rows are documents of their own; ties in the order go by id, then size; an empty table gives an empty result; the
 operator's own columns replace columns of the input with the same names, other columns are passed through.
@@ -94,23 +96,40 @@ def curriculum(mixed: DataFrame, size_col: str = "size", partitions: int | None
     return whole.repartitionById(n, F.least(F.floor(F.col("position") * n), F.lit(n - 1)).cast("int")).sortWithinPartitions("position")
 
 
+def training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
+    """One row for each document, range-sorted by the position of its first copy (documents that are not taken come last).
+
+    Adds n_copies and the positions of the first and the last copy, null for none.
+    """
+    n = partitions or int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = lambda k: F.try_element_at("copies", F.lit(k))["position"]
+    out = mixed.withColumn("n_copies", F.size("copies").cast("long")).withColumn("first_position", place(1)).withColumn("last_position", place(-1)).drop("copies")
+    return out.repartitionById(n, F.least(F.floor(F.coalesce("first_position", F.lit(1.0)) * n), F.lit(n - 1)).cast("int")).sortWithinPartitions(F.col("first_position").asc_nulls_last())
+
+
 SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce('s' || source, 't') AS key, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT key, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY key),
-w AS (SELECT *, CAST((row_number() OVER (ORDER BY encode(key)) - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS most FROM s),
+w AS (SELECT *, CAST((row_number() OVER (ORDER BY encode(key)) - 1) % 3 + 1 AS DOUBLE) AS weight, ([-0.5::DOUBLE, 0::DOUBLE, 0.5::DOUBLE])[(row_number() OVER (ORDER BY encode(key)) - 1) % 3 + 1] AS g, source_size * 3.0::DOUBLE AS most FROM s),
 u AS (SELECT *, coalesce(sum(most) OVER (ORDER BY most / weight, encode(key) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sum_most,
          sum(weight) OVER (ORDER BY most / weight, encode(key) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sum_weight,
          CAST(sum(source_size) OVER () AS DOUBLE) AS everything FROM w),
 v AS (SELECT *, CASE WHEN (everything - sum_most) / sum_weight * weight <= most THEN (everything - sum_most) / sum_weight END AS level FROM u),
-t AS (SELECT key, source_size, least(most, weight * max(level) OVER ()) AS target FROM v),
-c AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+t AS (SELECT key, source_size, g, least(most, weight * max(level) OVER ()) AS target FROM v),
+c AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.g, CAST(floor(target) AS BIGINT) AS asked,
          CAST(sum(d.size) OVER (PARTITION BY d.key ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
-      FROM d JOIN t USING (key))
-SELECT doc_id, size, source_size, target,
-  CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size * size
-       + greatest(0, least(size, CAST(floor(target) AS BIGINT) % source_size - start)) ELSE 0 END AS taken
-FROM c
+      FROM d JOIN t USING (key)),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN asked // source_size ELSE 0 END AS passes,
+         CASE WHEN source_size > 0 THEN greatest(0, least(size, asked % source_size - start)) ELSE 0 END AS part FROM c),
+-- the first copy is in pass 0, the last in the cut pass if that takes a word of it; a copy's place is its middle word
+q AS (SELECT *, passes * size + part AS taken, CASE WHEN size = 0 THEN 0 ELSE passes + CAST(part > 0 AS BIGINT) END AS n_copies,
+         CASE WHEN passes > 0 THEN size ELSE part END AS first_words, CASE WHEN part > 0 THEN passes ELSE passes - 1 END AS last_pass, CASE WHEN part > 0 THEN part ELSE size END AS last_words FROM p),
+r AS (SELECT *, least((start + CAST(first_words AS DOUBLE) / 2) / target, 1.0::DOUBLE) AS due_first, least((last_pass * source_size + start + CAST(last_words AS DOUBLE) / 2) / target, 1.0::DOUBLE) AS due_last FROM q)
+SELECT doc_id, size, source_size, target, taken, n_copies,
+  CASE WHEN n_copies > 0 THEN CASE WHEN g = 0 THEN due_first ELSE (sqrt((1 - g) * (1 - g) + 4 * g * due_first) - (1 - g)) / (2 * g) END END AS first_position,
+  CASE WHEN n_copies > 0 THEN CASE WHEN g = 0 THEN due_last ELSE (sqrt((1 - g) * (1 - g) + 4 * g * due_last) - (1 - g)) / (2 * g) END END AS last_position
+FROM r
 """
