@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -35,14 +36,15 @@ def test_kernel_splits_and_hashes_as_python():
     assert np.diff(at).tolist() == [max(0, n - 1) or int(n == 1) for n in np.diff(w.offsets)]
 
 
-TEXTS = ["", "a", " a", "a ", "a  b", "a\n\nb", "a \nb\n c", "don't we'll\tgo", "x y  z", "1234 56,78!? ...", "é ñß 日本語 text", "\n", "a\r\nb", "\x1c \x85"]
+TEXTS = ["", "a", " a", "a ", "a  b", "a\n\nb", "a \nb\n c", "don't we'll\tgo", "x y  z", "1234 56,78!? ...", "é ñß 日本語 text", "\n", "a\r\nb", "\x1c \x85", "a<|endoftext|>b", " <|endoftext|> \n<|endoftext|><|endoftext|>", "<|endoftext", "x <|endoftext|>y  z"]
 
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_units_encode_as_the_library(text):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     assert np.frombuffer(bestfit_packing.encoder(PATH)(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    t.encode_special_tokens = True
+    assert np.frombuffer(bestfit_packing.encoder(PATH, False)(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_packing_round_trip(docs, rows):
@@ -115,26 +117,37 @@ def test_mixing_limits_and_order(spark):
     assert order.rdd.glom().map(lambda part: [r.position for r in part] == sorted(r.position for r in part)).collect() == [True] * 4
 
 
-def test_training_order_query(spark, sf_dir):
+def test_training_order(spark, sf_dir):
+    """Positions by hand: every copy in training order, and the query's first and last one of each document."""
     from llm import queries
 
-    taken = {r.doc_id: r for r in queries.op6_source_mixing(spark, sf_dir).collect()}
-    source = {r.doc_id: r.source for r in queries.table(spark, sf_dir, "documents").select("doc_id", "source").collect()}
+    docs = queries.table(spark, sf_dir, "documents")
+    rows = queries.op6_source_mixing(spark, sf_dir).collect()
+    taken = {r.doc_id: r for r in rows}
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
     names = sorted(set(source.values()), key=lambda s: (s is None, s))
     ramp = {s: (-0.5, 0.0, 0.5)[k % 3] for k, s in enumerate(names)}
     start: Counter = Counter()
-    expected = []
+    every, copies = [], defaultdict(list)
     for i in sorted(source, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)):
         r, at, g = taken[i], start[source[i]], ramp[source[i]]
         start[source[i]] += r.size
         for p in range(4):
             n = min(r.size, max(0, int(r.target) - p * r.source_size - at))
-            if n and 2 * n >= r.size:
+            if n:
                 due = min(1.0, (p * r.source_size + at + n / 2) / r.target)
-                expected.append((((((1 - g) ** 2 + 4 * g * due) ** 0.5 - (1 - g)) / (2 * g)) if g else due, i))
-    got = [(r.position, r.doc_id) for r in queries.QUERIES["op6_training_order"](spark, sf_dir).collect()]
-    assert [p for p, _ in got] == sorted(p for p, _ in got)
-    assert sorted((i, round(p, 9)) for p, i in got) == sorted((i, round(p, 9)) for p, i in expected)
+                copies[i].append(((((1 - g) ** 2 + 4 * g * due) ** 0.5 - (1 - g)) / (2 * g)) if g else due)
+                if 2 * n >= r.size:
+                    every.append((i, copies[i][-1]))
+    for i, r in taken.items():
+        assert r.n_copies == len(copies[i])
+        ends = (copies[i][0], copies[i][-1]) if copies[i] else (None, None)
+        assert all(a is b or abs(a - b) < 1e-9 for a, b in zip((r.first_position, r.last_position), ends, strict=True))
+    order = [2.0 if r.first_position is None else r.first_position for r in rows]
+    assert order == sorted(order) and len(rows) == len(source)
+    got = [(r.doc_id, r.position) for r in source_mixing.curriculum(source_mixing.mix(docs.withColumn("size", source_mixing.words()))).select("doc_id", "position").collect()]
+    assert [p for _, p in got] == sorted(p for _, p in got)
+    assert sorted((i, round(p, 9)) for i, p in got) == sorted((i, round(p, 9)) for i, p in every)
 
 
 def test_mixing_empty(nothing):
@@ -191,12 +204,64 @@ def test_language(docs, nothing, spark):
     assert carried.count() == docs.count() and "tokens" in carried.columns
 
 
-def test_code_lengths_are_those_of_the_tree():
-    model = language_id.fit(pa.array(["abab", "abba"]), ["x", "x"])
-    p = np.exp2(-model.cost3[:, 0].astype(float)).reshape(64, 64, 64)
-    assert (p.sum(2) <= 1 + 1e-6).all()
-    # order 0: a and b 4 of 8 each with 2 escapes; "c" costs every escape of the contexts seen, then log2(64)
-    assert model.code_lengths(pa.array(["c"]))[0, 0] > model.code_lengths(pa.array(["a"]))[0, 0]
+def brute_code_length(training, text):
+    """PPM with escapes of method C, order 3, by dictionaries."""
+    follow: dict = defaultdict(Counter)
+    for t in training:
+        data = b"\0\0\0" + t.lower().encode()
+        for k in range(3, len(data)):
+            for order in range(4):
+                follow[data[k - order : k]][data[k]] += 1
+    bits, data = 0.0, b"\0\0\0" + text.lower().encode()
+    for k in range(3, len(data)):
+        for order in (3, 2, 1, 0):
+            seen = follow.get(data[k - order : k])
+            if not seen:
+                continue
+            total = sum(seen.values()) + len(seen)
+            if data[k] in seen:
+                bits -= math.log2(seen[data[k]] / total)
+                break
+            bits -= math.log2(len(seen) / total)
+        else:
+            bits += 8
+    return bits
+
+
+def test_code_lengths_are_those_of_the_trees():
+    rng = random.Random(3)
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    training = {"x": [make("abAB é", 90) for _ in range(4)] + [""], "y": [make("bcß 1\n", 60) for _ in range(3)], "z": [make("日本", 9)]}
+    model = language_id.fit(pa.array([t for own in training.values() for t in own]), [name for name, own in training.items() for _ in own])
+    texts = ["", "a", "abab", "ÉéB", "日本 語", "c1\n\x00zzq", make("abcé1日", 300)] + training["x"][:1]
+    got = model.code_lengths(pa.array(texts))
+    for i, text in enumerate(texts):
+        for k, name in enumerate(model.languages):
+            assert abs(got[i, k] - brute_code_length(training[name], text)) < 1e-3 * max(1, len(text) / 100)
+
+
+def test_places_in_sorted_arrays():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**32, 5000).astype(np.uint32))
+    asked = np.concatenate([keys, rng.integers(0, 2**32, 5000).astype(np.uint32)])
+    expected = [int(np.searchsorted(keys, x)) if x in set(keys.tolist()) else -1 for x in asked.tolist()]
+    assert language_id.Places(keys).find(asked).tolist() == expected
+    assert language_id.Places(keys[:0]).find(asked[:3]).tolist() == [-1] * 3
+
+
+def test_language_of_very_long_texts_and_ties(spark):
+    frame = spark.createDataFrame([(k, "ka lo mi tu " * 5, "ab"[k % 2]) for k in range(8)], "doc_id long, text string, lang string")
+    model = language_id.train(frame)
+    out = {r.doc_id: r for r in language_id.predict(spark.createDataFrame([(1, "ka lo mi tu " * 60000), (2, "ka")], "doc_id long, text string"), model).collect()}
+    assert out[1].lang_pred == out[2].lang_pred == "a" and abs(out[1].score - 0.5) < 1e-9
+
+
+def test_language_sample_is_bounded(spark):
+    frame = spark.createDataFrame([(k, "x" * 10 if k % 2 else "y" * 500, "en") for k in range(300)], "doc_id long, text string, lang string")
+    model = language_id.train(frame, rows_per_language=20, most_bytes=100)
+    assert model.code_lengths(pa.array(["y"]))[0, 0] > 8
+    whole = language_id.train(frame, rows_per_language=20)
+    assert whole.code_lengths(pa.array(["y"]))[0, 0] < 8
 
 
 def test_toxicity(spark, nothing):
@@ -264,12 +329,20 @@ PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>v
 <section id="comments"><p>Nice post</p></section></article><aside>Side</aside><footer>&copy; me</footer></body></html>"""
 
 
+def alone(html):
+    """The text of a page that is the only one of its host."""
+    if not html:
+        return ""
+    tree = html_extract.parse(html)
+    return html_extract.Wrapper(html_extract.Tree.unpacked(tree.packed()), frozenset(), frozenset()).text_of(tree)
+
+
 def test_html_rules():
-    assert html_extract.text_of(PAGE) == "Head & line\nFirst bold text\nSecond\nthird\none\ntwo"
-    assert html_extract.text_of(None) == html_extract.text_of("") == ""
-    assert html_extract.text_of("<p>a<p>b &amp;lt; <i>c") == "a\nb &lt; c"
-    assert html_extract.text_of("plain < text &eacute;") == "plain < text é"
-    assert html_extract.text_of('<div><a href="/">Only links here</a></div><p>Text stays.</p><script>x') == "Text stays."
+    assert alone(PAGE) == "Head & line\nFirst bold text\nSecond\nthird\none\ntwo"
+    assert alone("<p>a<p>b &amp;lt; <i>c") == "a\nb &lt; c"
+    assert alone("plain < text &eacute;") == "plain < text é"
+    # one page says nothing about menus that are not called so: what the contract does not name stays
+    assert alone('<div><a href="/">Only links here</a></div><p>Text stays.</p><script>x') == "Only links here\nText stays."
 
 
 def test_html_wrapper(spark):
@@ -289,7 +362,102 @@ def test_html_wrappers_joined_when_too_large_to_send(spark, monkeypatch):
     test_html_wrapper(spark)
 
 
-def test_tree_matching():
-    a, b = (html_extract.parse(x, tree=True)[1] for x in ("<div><p>x</p><ul><li>1</ul></div>", "<div><p>x</p><p>y</p><ul><li>2</ul></div>"))
-    pairs = []
-    assert html_extract.match(a, b, pairs) == len(pairs) == 7
+def brute_match(a, b, p=0, q=0):
+    """Simple tree matching by its recurrence."""
+    if a.names[p] != b.names[q]:
+        return 0
+    x, y = a.kids[p], b.kids[q]
+    m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, c in enumerate(x):
+        for j, d in enumerate(y):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + brute_match(a, b, c, d))
+    return 1 + m[-1][-1]
+
+
+def random_tree(rng, size):
+    tree = html_extract.Tree()
+    for _ in range(size):
+        tree.add(rng.choice([1, 2, 3]), rng.choice(range(max(0, len(tree.names) - 6), len(tree.names))), 0)
+    return tree
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_tree_matching_is_largest(seed):
+    rng = random.Random(seed)
+    a, b = random_tree(rng, rng.randrange(0, 24)), random_tree(rng, rng.randrange(0, 24))
+    if seed % 3 == 0:
+        b = html_extract.Tree.unpacked(a.packed())
+        for _ in range(4):
+            b.add(rng.choice([1, 2]), rng.randrange(len(b.names)), 0)
+    slots, n = html_extract.align(a, b)
+    assert n == brute_match(a, b) == sum(q >= 0 for q in slots)
+    for p, q in enumerate(slots):
+        if p and q >= 0:
+            assert a.names[p] == b.names[q] and slots[a.parents[p]] == b.parents[q]
+    for kids in a.kids:
+        matched = [slots[c] for c in kids if slots[c] >= 0]
+        assert matched == sorted(set(matched))
+
+
+def test_wide_nodes_match_by_number(monkeypatch):
+    monkeypatch.setattr(html_extract, "WIDE", 0)
+    for seed in range(20):
+        rng = random.Random(seed)
+        a, b = random_tree(rng, 30), random_tree(rng, 30)
+        slots, n = html_extract.align(a, b)
+        assert sum(q >= 0 for q in slots) == n <= brute_match(a, b)
+        for kids in a.kids:
+            matched = [slots[c] for c in kids if slots[c] >= 0]
+            assert matched == sorted(set(matched))
+
+
+def test_deep_and_wide_pages_end(spark):
+    import time
+
+    deep = lambda k: "<div>" + f"<span class=s{k % 2}>" * 5000 + f"<p>deep {k}</p>" + "<i>" * 5000 + f"tail {k}"
+    wide = lambda k: "<html><body>" + "".join(f"<div><b>{j + k}</b><p>w{(j + 1) * (k + 1)}</p></div>" + "<hr>" * (j % 3 == k % 3) for j in range(10000)) + "</body></html>"
+    rows = [(k, "http://deep.example/", deep(k)) for k in range(4)] + [(10 + k, "http://wide.example/", wide(k)) for k in range(4)]
+    start = time.time()
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == "deep 2\ntail 2" and len(got[11].split("\n")) == 20000 and time.time() - start < 60
+
+
+def gazette(k, body):
+    """A page without a marked article: a name, a menu and a line below on every page, and two paragraphs of its own."""
+    menu = "".join(f'<li><a href="/{x}">{x} {k if x == "today" else ""}</a></li>' for x in ("home", "world", "today"))
+    own = "".join(f"<p>{x}</p>" for x in body)
+    return f"<html><body><div><p>Daily Gazette of the North</p><ul>{menu}</ul></div><div>{own}</div><div><p>Printed in the old town since 1890.</p></div></body></html>"
+
+
+def test_wrapper_decides_on_hosts_without_article_marks(spark):
+    """Template texts and menus go on every page of the host, however many pages it has; without the wrapper they stay."""
+    bodies = {k: [f"Opening line {k} of this story.", *(f"Line {k}-{j} goes on and on." for j in range(k % 4))] for k in range(60)}
+    rows = [(k, "http://g.example/x", gazette(k, b)) for k, b in bodies.items()]
+    # one page's paragraph equals another's, and copies of a page count once
+    rows += [(100 + k, "http://g.example/copy", gazette(7, bodies[7])) for k in range(30)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "\n".join(b) for k, b in bodies.items()) and got[115] == got[7]
+    changed = sum(alone(html) != got[k] for k, _, html in rows)
+    assert changed == len(rows)
+
+
+def test_near_copies_of_one_page_have_no_template(spark):
+    text = [f"Sentence {j} of the only page." for j in range(20)]
+    rows = [(k, "http://c.example/", "<body>" + "".join(f"<p>{x if j != k else 'edited'}</p>" for j, x in enumerate(text)) + "</body>") for k in range(12)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "\n".join(x if j != k else "edited" for j, x in enumerate(text)) for k in range(12))
+
+
+def test_every_page_goes_through_its_wrapper(spark, sf_dir, monkeypatch):
+    """On the real pages every kept block stands in a content slot, or in an element of one."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    wrappers = {(r.host, r.layout): html_extract.read_wrapper(r.asDict(recursive=True)) for r in html_extract.induce(html_extract.shapes(pages.withColumn("host", html_extract.host_of("url")).select("page_id", "host", "html"))).collect()}
+    for r in pages.withColumn("host", html_extract.host_of("url")).collect():
+        page = html_extract.parse(r.html)
+        wrapper = wrappers[r.host, page.layout()]
+        assert wrapper.text_of(page) == got[r.page_id]
+        nothing = html_extract.Wrapper(wrapper.tree, frozenset(), frozenset())
+        nothing.content = [False] * len(nothing.content)
+        left = nothing.text_of(page)
+        assert left != got[r.page_id] or not got[r.page_id]
