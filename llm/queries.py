@@ -71,11 +71,11 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each licence line."""
+    """One row for each licence passage: its first and last line."""
     from .license_scan import scan, train
 
     docs = table(spark, sf_dir, "documents")
-    return scan(docs, train(docs)).select("doc_id", "line", "family", F.round("score", 6).alias("score"), F.round("share", 6).alias("share"))
+    return scan(docs, train(docs)).select("doc_id", "line", "last_line", "family", F.round("score", 6).alias("score"), F.round("share", 6).alias("share"))
 
 
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -324,6 +324,78 @@ def test_licences_short_commented_and_among_prose(spark, docs):
     assert got == [(1, k, x) for k, x in enumerate(expected)] + [(2, 0, "MIT")]
 
 
+WRAPPED = """A file of tools for the harbour.
+
+Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without
+restriction
+
+Nothing else is said. Redistribution and use in source and
+binary forms, with or without modification, are permitted provided that
+the following conditions are met. The boats left early in the morning."""
+
+
+def test_licences_wrapped_over_lines(spark, docs):
+    """A notice wrapped over lines is one passage, and so is a sentence that runs over lines among prose."""
+    model = license_scan.train(docs)
+    frame = spark.createDataFrame([(1, WRAPPED), (1, WRAPPED), (2, "prose of the harbour. " * 30000 + "\n" + WRAPPED), (3, "MIT License\n\nGPLv2")], "doc_id long, text string").withColumn("family", F.lit("clash"))
+    got = sorted((r.doc_id, r.line, r.last_line, r.family) for r in license_scan.scan(frame, model).collect())
+    assert got == [(1, 2, 5, "MIT")] * 2 + [(1, 7, 9, "BSD")] * 2 + [(2, 3, 6, "MIT"), (2, 8, 10, "BSD"), (3, 0, 0, "MIT"), (3, 2, 2, "GPL-2.0")]
+
+
+def brute_licences(model, text):
+    """Every passage of every paragraph scored, whether a template hints at it or not."""
+    lines, out = (text or "").split("\n"), []
+    k = 0
+    has_word = lambda x: len(license_scan.grams(pa.array([x]))[0][0]) > 0
+    while k < len(lines):
+        if not has_word(lines[k]):
+            k += 1
+            continue
+        end = k
+        while end + 1 < len(lines) and has_word(lines[end + 1]):
+            end += 1
+        parts = license_scan.passages_of(lines[k : end + 1])
+        best, score, share = model.scan(pa.array([x[-1] for x in parts]))
+        ok = [x for x in range(len(parts)) if best[x] < len(license_scan.FAMILIES) and score[x] >= 0.5 and share[x] >= 0.5]
+        used: set[int] = set()
+        for kind in (0, 1):
+            for x in ok:
+                if parts[x][0] == kind and not used & set(range(parts[x][1], parts[x][2] + 1)):
+                    used |= set(range(parts[x][1], parts[x][2] + 1))
+                    out.append((k + parts[x][1], k + parts[x][2], model.names[best[x]]))
+        for x in sorted((x for x in ok if parts[x][0] == 2), key=lambda x: (-share[x], -score[x], x)):
+            if parts[x][1] not in used:
+                used.add(parts[x][1])
+                out.append((k + parts[x][1], k + parts[x][2], model.names[best[x]]))
+        k = end + 1
+    return sorted(out)
+
+
+def test_licences_against_brute_force(spark, sf_dir, docs):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()][:120] + [(10**6 + k, t) for k, t in enumerate([WRAPPED, None, "", " \n\n", "x MIT License. y.\nMIT\n// GPLv2", "Text here. License: MIT. Other text."])]
+    model = license_scan.train(docs)
+    got = defaultdict(list)
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        got[r.doc_id].append((r.line, r.last_line, r.family))
+    assert sum(map(len, got.values())) > 5
+    for i, text in rows:
+        assert sorted(got[i]) == brute_licences(model, text)
+
+
+def test_licence_classes_hold_out_and_calibrate():
+    """The temperature comes from wordings and parts that the first fit has not seen, and regression learns sparse rows."""
+    texts, labels, held = license_scan._templates()
+    assert 0.15 < np.mean(held) < 0.4 and len(set(np.array(labels)[np.array(held)])) == len(license_scan.FAMILIES)
+    rng = np.random.default_rng(0)
+    labels = rng.integers(0, 3, 300)
+    rows, cols = np.repeat(np.arange(300), 2), np.stack([labels, rng.integers(3, 9, 300)], 1).ravel()
+    w = license_scan._regression(rows, cols, np.ones(600), labels, 9, 3)
+    z = w[cols].reshape(300, 2, 3).sum(1) + w[-1]
+    assert (z.argmax(1) == labels).all()
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-sidebar"><header>Site</header><nav><a href=x>Menu</a></nav>
 <div class="cookie-notice">We use cookies</div><article><h1>Head &amp; line</h1><p>First   <b>bold</b>&nbsp;text<p>Second<br>third<form>Sign up</form><div class="ad">Buy</div><ul><li>one<li>two</ul>
 <section id="comments"><p>Nice post</p></section></article><aside>Side</aside><footer>&copy; me</footer></body></html>"""
