@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean, small_batches
 from .textkernel import Words, buffers, slices, windows
 
 RULES = ("repeated", "navigation", "symbols", "shouting", "boilerplate", "punctuation")
@@ -103,6 +104,7 @@ def repeated_words(raw: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: float = 0.5, with_text: bool = True, **rules) -> DataFrame:
     """Per document: the base measures, characters that each rule removed, the verdict and, with with_text, the cleaned text."""
+    small_batches(docs.sparkSession)
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     lost = [f"lost_{r}" for r in RULES]
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in [*base, *lost]) + ", base_failed boolean, kept boolean" + ", clean_text string" * with_text
@@ -126,4 +128,4 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
                     out.append(pa.array(cols[-1], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", *base, *lost, "base_failed", "kept", *["clean_text"] * with_text])
 
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(lean(run), schema)

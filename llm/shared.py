@@ -115,11 +115,11 @@ def hashed_rows(df: DataFrame, key: str, id_col: str, rows: int) -> DataFrame:
 
     A value's count sets its limit, so nothing is ranked; values of a label are few, and only their counts are joined.
     """
-    known = df.select(id_col, key).filter(F.col(key).isNotNull() & F.col(id_col).isNotNull()).distinct()
+    known = df.select(id_col, key).filter(F.col(key).isNotNull() & F.col(id_col).isNotNull())
     counts = known.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n"))
     unit = F.pmod(F.xxhash64(id_col), F.lit(1 << 31)) / float(1 << 31)
     limit = max(1.0, rows - 2 * rows**0.5)
-    return known.join(counts, F.col(key) == F.col("__key")).filter(unit * F.col("__n") <= limit).select(id_col, key, F.xxhash64(id_col).alias("h"))
+    return known.join(counts, F.col(key) == F.col("__key")).filter(unit * F.col("__n") <= limit).select(id_col, key, F.xxhash64(id_col).alias("h")).distinct()
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hashed_rows
+from .shared import hashed_rows, lean, small_batches
 from .textkernel import U64, Words, buffers, mix64, slices
 
-#: Training rows of each class at most; they are those with the smallest hash of the id.
-ROWS_PER_CLASS = 2000
+#: Training rows of each class at most, those with the smallest hash of the id, and bytes of such a row's text.
+ROWS_PER_CLASS, MOST_BYTES = 2000, 1 << 16
 # Common insults, and second-person pronouns, in four languages.
 INSULTS = "arschloch bastard bitch clown connard cretin cunt dickhead disgusting dumb dummkopf estúpido fuck garbage hijueputa idiot idiota idioten imbécile imbécil jerk loser merde mierda moron pathetic puta salope scheiße scum shit stupid stupide trash tonto ugly whore worthless wichser".split()
 PRONOUNS = "du dich dein dir euch ihr sie te ti toi ton tu tus tuyo usted ustedes vos votre vosotros vous you your yours youre yourself u".split()
@@ -274,22 +274,24 @@ def fit(texts: pa.Array, toxic: np.ndarray, fold: np.ndarray, weight: np.ndarray
     return Scorer(learn_lexicon(texts, toxic), Trees().fit(x, toxic, weight), knots, values, share)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> Scorer:
-    """Fits on at most rows_per_class labelled rows of each class, chosen by a hash of the id and weighted back to their class's count."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS, most_bytes: int = MOST_BYTES) -> Scorer:
+    """Fits on at most rows_per_class labelled rows of each class, of texts of most_bytes at most, chosen by a hash of the id and weighted back to their class's count."""
     known = labels.select(F.col(id_col).alias("d"), F.col(label_col).cast("int").alias("y")).filter("d IS NOT NULL AND y IN (0, 1)").groupBy("d").agg(F.max("y").alias("y"))
-    # labelled rows that a sampled one stands for
-    stands = np.ones(2)
-    for y, n in known.groupBy("y").count().collect():
-        stands[y] = max(1.0, n / rows_per_class)
+    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     ids = hashed_rows(known, "y", "d", rows_per_class)
-    sample = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).join(F.broadcast(ids), "d").withColumn("h", F.xxhash64("d")).orderBy("h", "d").toArrow()
-    fold = np.asarray(sample.column("h").combine_chunks(), np.int64) & 1
-    toxic = np.asarray(sample.column("y").combine_chunks(), np.int64)
-    return fit(sample.column("t").combine_chunks().fill_null(""), toxic, fold, stands[toxic])
+    rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).filter(F.coalesce(F.octet_length("t"), F.lit(0)) <= most_bytes)
+    sample = rows.join(F.broadcast(ids), "d").toArrow().sort_by([("h", "ascending"), ("d", "ascending")])
+    hashes, toxic = (np.asarray(sample.column(c).combine_chunks(), np.int64) for c in ("h", "y"))
+    keep = np.sort(np.concatenate([np.flatnonzero(toxic == y)[:rows_per_class] for y in (0, 1)])).astype(np.int64)
+    toxic, fold = toxic[keep], hashes[keep] & 1
+    # labelled rows that a sampled one stands for
+    stands = np.array([max(1.0, counts.get(y, 0) / max(1, np.count_nonzero(toxic == y))) for y in (0, 1)])
+    return fit(sample.column("t").combine_chunks().take(pa.array(keep)).fill_null(""), toxic, fold, stands[toxic])
 
 
 def score(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id and score."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -297,4 +299,4 @@ def score(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text_col: str
             for b in slices(batch, "t"):
                 yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(shipped.value.score(b.column("t").fill_null("")))], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(lean(run), "doc_id long, score double")

@@ -176,6 +176,32 @@ def test_quality_base(docs, rows):
         assert r.base_failed == (n < 10 or 100 * rest[-1] > 20 * n) and (not r.kept or not r.base_failed)
 
 
+def brute_verdict(text):
+    """Share of words' characters on lines that fail a rule, by the rules as the docstring states them."""
+    seen, lost, total, lines = set(), 0, 0, (text or "").split("\n")
+    for k, line in enumerate(lines):
+        w = re.findall(WORDS, line)
+        if not w:
+            continue
+        n, chars = len(w), sum(map(len, w))
+        bars = sum(line.count(c) for c in "|»›•·")
+        steps = len(re.findall(r"[|»›•·]|(?<=\s)[>/-](?=\s)", line))
+        fails = line in seen or bars > 1 and 4 * bars >= n or " > " in line and 3 * steps >= n or len(re.findall(r"[#*$%&|<>]", line)) > n / 4
+        fails = fails or n >= 4 and line.isupper() or any(p in line.lower() for p in line_quality.BOILERPLATE)
+        fails = fails or n >= 12 and k + 1 < len(lines) and not re.search(r"""[.!?…:;"'”’»)\]}。！？][ \t\n\r\x0b\x0c]*$""", line)
+        seen.add(line)
+        lost, total = lost + fails * chars, total + chars
+    return 2 * lost <= total
+
+
+def test_quality_verdict_against_brute_force(spark, rows, sf_dir):
+    own = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + [(10**6 + k, t) for k, (_, t) in enumerate(rows)]
+    own += [(2 * 10**6, "Home | News | More\n" * 3 + "A plain sentence stays here, of some ten words or more.\n" * 2), (2 * 10**6 + 1, ("A word and more of it. " * 9 + "\n") * 3000)]
+    text = dict(own)
+    for r in line_quality.assess(spark.createDataFrame(own, "doc_id long, text string"), with_text=False).collect():
+        assert r.kept == (not r.base_failed and brute_verdict(text[r.doc_id]))
+
+
 def test_quality_rules(docs, nothing):
     rule = line_quality.line_rule
     assert rule("Home | News | Sport | More", 7, False, False) == "navigation"
@@ -296,6 +322,69 @@ def test_toxicity_follows_the_labels_whatever_the_cap(spark):
         assert toxicity.score(frame, model).agg(F.avg("score")).first()[0] < 0.2
 
 
+def test_toxicity_of_odd_rows(spark):
+    """Very long texts, repeated rows, ties and columns with the operator's names."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(15)) + " moron idiot" * (i % 4 == 0), int(i % 4 == 0)) for i in range(200)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(train, train.union(train))
+    odd = [(1, "alpha beta"), (1, "alpha beta"), (2, "alpha beta"), (3, "word " * 400000), (4, "you moron idiot"), (None, "alpha beta"), (5, None)]
+    frame = spark.createDataFrame(odd, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("d", F.lit(7)).withColumn("t", F.lit("x"))
+    got = toxicity.score(frame, model).collect()
+    scores = defaultdict(set)
+    for r in got:
+        scores[r.doc_id].add(r.score)
+    assert len(got) == len(odd) and len(scores[1] | scores[2] | scores[None]) == 1 and all(0 <= s <= 1 for x in scores.values() for s in x)
+    assert min(scores[4]) > max(scores[3] | scores[1])
+
+
+def brute_isotonic(y, w):
+    """The non-decreasing fit by its max-min formula."""
+    n = len(y)
+    mean = lambda a, b: np.average(y[a : b + 1], weights=w[a : b + 1])
+    return [max(min(mean(a, b) for b in range(k, n)) for a in range(k + 1)) for k in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_isotonic_against_its_formula(seed):
+    rng = np.random.default_rng(seed)
+    x, y, w = np.arange(30.0), rng.integers(0, 2, 30), rng.random(30) + 0.1
+    knots, values = toxicity.isotonic(x, y, w)
+    got = np.interp(x, *toxicity.isotonic(x, y, w))
+    assert np.allclose(got, brute_isotonic(y, w)) and (np.diff(values) >= 0).all() and (np.diff(knots) >= 0).all()
+
+
+def brute_split(x, g, h, ridge):
+    """The best first split over all cuts between values, by the gain of Newton leaves."""
+    best = (0.0, None, None)
+    for j in range(x.shape[1]):
+        for cut in np.unique(x[:, j])[:-1]:
+            left = x[:, j] <= cut
+            gain = g[left].sum() ** 2 / (h[left].sum() + ridge) + g[~left].sum() ** 2 / (h[~left].sum() + ridge) - g.sum() ** 2 / (h.sum() + ridge)
+            if gain > best[0] + 1e-12:
+                best = (gain, j, cut)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_trees_split_where_brute_force_does(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 12, (80, 4)).astype(float)
+    y = (x[:, seed] + rng.normal(size=80) > 6).astype(float)
+    trees = toxicity.Trees(rounds=1, depth=1, rate=1.0, bins=400, least=0.0)
+    trees.fit(x, y)
+    p = y.mean()
+    gain, j, cut = brute_split(x, p - y, np.full(80, p * (1 - p)), 1.0)
+    found = trees.trees[0][0]
+    left = x[:, j] <= cut
+    # any cut between two values parts the rows alike
+    assert found[0] == j and ((x[:, j] <= found[1]) == left).all()
+    raw = trees.raw(x)
+    for side in (left, ~left):
+        leaf = (y - p)[side].sum() / (side.sum() * p * (1 - p) + 1.0)
+        assert np.allclose(raw[side] - trees.base, leaf)
+
+
 def test_isotonic_weighs_rows():
     assert toxicity.isotonic(np.array([1.0, 1, 2]), np.array([1, 0, 1]), np.array([1.0, 3, 1]))[1].tolist() == [0.25, 0.25, 1, 1]
 
