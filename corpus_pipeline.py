@@ -1,7 +1,12 @@
 """The corpus pipeline: language ID, line dedup, n-gram Jaccard join, mixing to target weights, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and works on everything that its predecessor kept; all but the last return the columns of
-``documents``.  Between stages the rows are written and read again.
+``documents``, whatever other columns docs has.  Between stages the rows are written and read again.
+
+Edge cases, as the operators define them: null texts and those without a letter leave with language ID, as do all rows where no language
+can be learned; null sources are one source, null languages are filled in, null counts of characters stay; a row without an id is never a
+near copy, so it stays; very long texts are taken whole; of tied lines and documents the first by id and line stays; rows that repeat
+an id and a text keep their lines and are near copies of themselves, so all of them stay; an empty table passes every stage empty.
 """
 
 from __future__ import annotations
