@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,35 @@ def task(returns: str) -> Callable[[Callable], Callable[..., Column]]:
     return wrap
 
 
+def batch_task(returns: str) -> Callable[[Callable], Callable[..., Column]]:
+    """A function of whole columns as a column function: NumPy arrays in, one array out, one call for each Arrow batch."""
+
+    def wrap(f: Callable) -> Callable[..., Column]:
+        def run(*columns: pa.Array) -> pa.Array:
+            return pa.array(f(*(c.to_numpy(zero_copy_only=False) for c in columns)))
+
+        # the argument's annotation tells that it takes Arrow arrays
+        one = lambda c: run(c)
+        one.__annotations__ = {"c": pa.Array, "return": pa.Array}
+        return F.arrow_udf(one, returns)
+
+    return wrap
+
+
+def proved(native: Callable[..., Column], fallback: Callable[..., Column], kinds: tuple[str, ...]) -> Callable[..., Column]:
+    """A function without a mark: a column expression where the columns' types are those that it is proved for, else a task.
+
+    frame is the first argument of the result, columns' names the others.
+    """
+
+    def call(frame: DataFrame, *columns: str) -> Column:
+        known = dict(frame.dtypes)
+        args = [F.col(c) for c in columns]
+        return native(*args) if all(known[c] in kinds for c in columns) else fallback(*args)
+
+    return call
+
+
 def checked_task(returns: str) -> Callable[[Callable], Callable[..., Column]]:
     """As task, but an exception is a value: struct(value, error_type, error_message)."""
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rowflow as R
 from ..functions import semantics as P
-from ..functions.task import checked_task, in_context, task
+from ..functions.task import batch_task, checked_task, in_context, proved, task
 from ..sources import tables as T
 from .registry import query
 
@@ -35,12 +36,15 @@ COLLATZ = "w(start, n, steps) AS (SELECT p_partkey, p_partkey, CAST(0 AS BIGINT)
 
 @query(f"WITH RECURSIVE {COLLATZ} SELECT start, max(steps) AS steps FROM w GROUP BY start")
 def c5_while_collatz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @task("bigint")
-    def steps(n: int) -> int:
-        k = 0
-        while n != 1:
-            n = n // 2 if n % 2 == 0 else 3 * n + 1
-            k += 1
+    @batch_task("bigint")
+    def steps(n: np.ndarray) -> np.ndarray:
+        """All numbers of a batch walk at once; those that have arrived leave."""
+        k = np.zeros(len(n), np.int64)
+        left, now = np.arange(len(n)), n.astype(np.int64)
+        while len(left := left[now != 1]):
+            now = now[now != 1]
+            k[left] += 1
+            now = np.where(now % 2 == 0, now // 2, 3 * now + 1)
         return k
 
     parts = T.table(spark, sf_dir, "part").filter("p_partkey >= 1")
@@ -117,7 +121,7 @@ def d4_collatz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s AS slice, round(sum(4.0::DOUBLE / (1 + ((s * 100000 + i + 0.5::DOUBLE) / 300000) ** 2)) / 300000, 8) AS area FROM range(3) a(s), range(100000) b(i) GROUP BY s")
 def d5_quadrature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.quadrature(spark.range(0, 3, 1, 3), 3, 100_000, lambda x: 4.0 / (1 + x * x)).select("slice", F.round("area", 8).alias("area"))
+    return R.quadrature(spark, 3, 100_000, lambda x: 4.0 / (1 + x * x)).select("slice", F.round("area", 8).alias("area"))
 
 
 @query("SELECT s AS slice, CAST(sum((s * 100000 + i) * (s * 100000 + i)) AS BIGINT) AS total FROM range(3) a(s), range(100000) b(i) GROUP BY s")
@@ -190,6 +194,29 @@ def i1_task_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "part").select("p_partkey", F.round(price("p_retailprice", "p_size"), 4).alias("price"))
 
 
+@query("SELECT p_partkey, p_size * 3 + 1 AS of_int, CAST(p_retailprice * 3 + 1 AS DOUBLE) AS of_float, p_brand || '+' || p_brand || '+' || p_brand || '+' AS of_text FROM part")
+def i2_auto_proved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One unmarked function, called with three argument types: a column expression for numbers, which it is proved for, a task for text."""
+
+    @task("string")
+    def plain(x: str) -> str:
+        return "".join(x + "+" for _ in range(3))
+
+    f = proved(lambda x: x * 3 + 1, plain, ("int", "bigint", "double"))
+    p = T.table(spark, sf_dir, "part")
+    return p.select("p_partkey", f(p, "p_size").alias("of_int"), f(p, "p_retailprice").alias("of_float"), f(p, "p_brand").alias("of_text"))
+
+
+NAMES = ["len", "sum", "abs", "min", "max", "range", "round", "p_size", "missing"]
+
+
+@query("SELECT name, CASE WHEN name IN ('len', 'sum', 'abs', 'min', 'max', 'range') THEN 'builtin' WHEN name = 'p_size' THEN 'value' ELSE 'external' END AS origin, name IN ('round', 'missing') AS maybe_unbound FROM (VALUES " + ", ".join(f"('{x}')" for x in NAMES) + ") n(name)")
+def a8_name_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each name that a program reads is: a value of its scope, one of the six builtins, or external and perhaps unbound."""
+    scope = spark.createDataFrame([(c,) for c in T.table(spark, sf_dir, "part").columns], "name string")
+    return T.name_origins(spark.createDataFrame([(x,) for x in NAMES], "name string"), scope)
+
+
 @query("SELECT o_orderkey, length(o_orderpriority) + 1 AS result FROM orders")
 def i4_context_mapinpandas(spark: SparkSession, sf_dir: str) -> DataFrame:
     def step(state: dict, batch: pd.DataFrame) -> pd.DataFrame:

@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 MOST_FILES, MOST_FILE_BYTES, MOST_BYTES = 2048, 8 << 20, 64 << 20
 
 
+#: Functions that a program may read without binding them.
+BUILTINS = ("len", "sum", "abs", "min", "max", "range")
+
+
+def name_origins(names: DataFrame, scope: DataFrame) -> DataFrame:
+    """(name, origin, maybe_unbound): value for a name of the scope, else builtin, else external; a plan that reads an external name that no table has fails at analysis."""
+    own = scope.select("name", F.lit(True).alias("bound")).distinct()
+    origin = F.when(F.col("bound"), "value").when(F.col("name").isin(*BUILTINS), "builtin").otherwise("external")
+    return names.join(own, "name", "left").select("name", origin.alias("origin"), (origin == "external").alias("maybe_unbound"))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
