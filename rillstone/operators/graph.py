@@ -210,6 +210,17 @@ def widths(level: DataFrame) -> DataFrame:
 
 
 def plan_digest(edges: DataFrame) -> DataFrame:
-    """(digest) of a graph's sorted edge list; only for plans, whose edges fit one row."""
-    text = F.array_join(F.array_sort(F.collect_list(F.concat_ws(">", "source", "target"))), ";")
-    return edges.agg(F.sha2(text, 256).alias("digest"))
+    """(digest) of a graph's edges, whatever their order: of sorted edges by bucket (the first three digits of their own digests), then of the 4096 buckets'."""
+    text = edges.select(F.concat_ws(">", "source", "target").alias("edge"))
+    by = text.groupBy(F.substring(F.sha2("edge", 256), 1, 3).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("edge")), ";"), 256).alias("digest"))
+    return by.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("bucket", "digest"))), ";"), 256).alias("digest"))
+
+
+def numbered(frame: DataFrame, keys: list, column: str) -> DataFrame:
+    """Adds the place, from 1, of each row in the order of keys: rows are sorted in ranges, and only one count for each range is summed up."""
+    ranges = cut(frame.repartitionByRange(*keys).sortWithinPartitions(*keys))
+    at = F.monotonically_increasing_id()
+    rows = ranges.withColumn("__part", F.shiftright(at, 33)).withColumn("__at", at.bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).drop("__n")
+    return rows.join(F.broadcast(before), "__part").withColumn(column, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")

@@ -35,7 +35,10 @@ class Verdicts(StatefulProcessor):
 
 
 def verdict_stream(beats: DataFrame) -> DataFrame:
-    """A stream of (worker, at, id, seq) with each beat's verdict.  Beats of one micro-batch are taken in order of arrival time."""
+    """A stream of (worker, at, id, seq) with each beat's verdict.  Beats of one micro-batch are taken in order of arrival time.
+
+    A worker's beats of one micro-batch are sorted in memory, so the source's rate limits (maxFilesPerTrigger and the like) bound them.
+    """
     return beats.groupBy("worker").transformWithStateInPandas(statefulProcessor=Verdicts(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
 
 
