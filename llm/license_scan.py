@@ -9,8 +9,8 @@ calibrates the probabilities, fitted on texts of wordings, parts and passages th
 
 A passage is a licence passage of its family if the calibrated probability is at least ``least_score`` and at least ``least_share``
 of its 3-grams are in the family's templates; one of one or two words has no 3-gram and must be a name of the family, alone or after
-a lead.  A paragraph that is such a passage stands for itself; else each of its lines that is one does; else, of the sentences that start
-in a line, the one with the largest share, then probability, then the first.  Only passages that templates can confirm are scored.
+a lead.  A paragraph that is such a passage stands for itself; else each of its lines that is one does; of the sentences that start in a line
+and touch no such line, the one with the largest share, then probability, then the first does.  Only passages that templates can confirm are scored.
 
 Edge cases: null and empty texts have no licence; ties between families go to the first in the order of ``FAMILIES``; repeated rows are
 scanned alike; an empty table gives an empty result; further columns are ignored.  Whole texts are read, however long.
@@ -353,10 +353,11 @@ def scan(docs: DataFrame, model: Licences, id_col: str = "doc_id", text_col: str
         # a paragraph before its lines, lines before sentences, sentences that start in one line by share, probability, place
         for x in sorted(ok.tolist(), key=lambda x: (parts[x][0], parts[x][1], -share[x] if parts[x][1] == 2 else 0, -score[x] if parts[x][1] == 2 else 0, x)):
             k, kind, first, last, text = parts[x]
+            # lines that a paragraph or a line has taken, and, as numbers below 0, lines in which a sentence has started
             used = taken.setdefault(k, set())
-            if used.intersection(range(first, last + 1) if kind < 2 else (first,)):
+            if not used.isdisjoint(range(first, last + 1)) or kind == 2 and ~first in used:
                 continue
-            used.update(range(first, last + 1) if kind < 2 else (first,))
+            used.update(range(first, last + 1) if kind < 2 else [~first])
             rows.append((ids[place[x][0]].as_py(), first, last, model.names[best[x]], score[x], share[x], text))
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names)

@@ -454,9 +454,10 @@ def brute_licences(model, text):
                 if parts[x][0] == kind and not used & set(range(parts[x][1], parts[x][2] + 1)):
                     used |= set(range(parts[x][1], parts[x][2] + 1))
                     out.append((k + parts[x][1], k + parts[x][2], model.names[best[x]]))
+        begun: set[int] = set()
         for x in sorted((x for x in ok if parts[x][0] == 2), key=lambda x: (-share[x], -score[x], x)):
-            if parts[x][1] not in used:
-                used.add(parts[x][1])
+            if parts[x][1] not in begun and not used & set(range(parts[x][1], parts[x][2] + 1)):
+                begun.add(parts[x][1])
                 out.append((k + parts[x][1], k + parts[x][2], model.names[best[x]]))
         k = end + 1
     return sorted(out)
