@@ -163,7 +163,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = saved(candidate_groups(d.mapInArrow(lean(postings), PACKED), percent, PART))
     known = likely(first, "s1", groups.select("id"))
     classes = saved(known.join(groups, F.col("s1") == F.col("id")).drop("id"))
-    pairs = blocks(classes, "s1")
+    pairs, units = blocks(classes, "s1")
 
     def places(batches):
         for b in batches:
@@ -197,7 +197,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             give_back()
         return rows.select(["doc_id", "line"]).take(pa.array(out, pa.int64()))
 
-    matched = saved(pairs.join(sets, ["doc_id", "line"]).groupBy("bin", "pair").applyInArrow(compare, "doc_id long, line int"))
+    matched = saved(pairs.join(sets, ["doc_id", "line"]).repartition(units, "bin", "pair").groupBy("bin", "pair").applyInArrow(compare, "doc_id long, line int"))
     discard(groups, classes)
     return copies.union(matched).distinct()
 

@@ -36,6 +36,8 @@ HOT_TIMES, PART_TOKENS = 16, 1_000_000
 BUCKET_TOKENS, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 256, 1 << 22
 #: Sets, and tokens, of one side of a block pair.
 BLOCK_SETS, BLOCK_TOKENS = 500, 500_000
+#: Partitions at most that block pairs are dealt out to, one by one.
+MOST_UNITS = 100_000
 FILTER_BITS = 25
 
 
@@ -270,8 +272,8 @@ def candidate_groups(packed: DataFrame, percent: int, part: int) -> DataFrame:
     return found
 
 
-def blocks(members: DataFrame, order: str) -> DataFrame:
-    """Adds bin and pair to members (group, n, order, ...), which name the task that compares a member with others.
+def blocks(members: DataFrame, order: str) -> tuple[DataFrame, int]:
+    """Adds bin and pair to members (group, n, order, ...), which name the unit of work that compares a member with others; and how many units there are.
 
     Small groups share bins, as their members cannot link with each other's.  Large groups are dealt into blocks, and a member is
     repeated for each pair of blocks that its own is in: side is its block within the pair, inside whether this pair is the one that
@@ -280,9 +282,10 @@ def blocks(members: DataFrame, order: str) -> DataFrame:
     size = members.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1")
     all_sets, all_tokens = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bins = 1 << max(0, int(max(all_sets // BLOCK_SETS, all_tokens // BLOCK_TOKENS)).bit_length())
-    m = members.join(size, F.col("group") == F.col("g")).drop("g")
     parts = F.greatest(F.ceil(F.col("sets") / (2 * BLOCK_SETS)), F.ceil(F.col("tokens") / (2 * BLOCK_TOKENS)))
     parts = F.when(parts > 1, 2 * parts).otherwise(parts).cast("int")
+    pairs = size.agg(F.coalesce(F.sum(parts.cast("long") * (parts - 1) / 2), F.lit(0)).cast("long")).first()[0]
+    m = members.join(size, F.col("group") == F.col("g")).drop("g")
     own = F.pmod(F.xxhash64(F.col(order), F.lit(7)), F.col("parts")).cast("int")
     m = m.withColumn("parts", parts).withColumn("own", own).drop("sets", "tokens")
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != F.col("own")))
@@ -292,7 +295,7 @@ def blocks(members: DataFrame, order: str) -> DataFrame:
     m = m.withColumn("bin", F.when(small, F.pmod(F.xxhash64("group"), F.lit(bins))).otherwise(F.col("group")))
     m = m.withColumn("pair", F.when(small, F.lit(-1)).otherwise(low * F.lit(1 << 20) + high))
     m = m.withColumn("side", (F.col("own") > F.col("other")).cast("int")).withColumn("inside", small | home)
-    return m.drop("parts", "own", "other", "group")
+    return m.drop("parts", "own", "other", "group"), min(bins + pairs, MOST_UNITS)
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of a batch that goes to a Python worker: operators on texts and vectors hold a few of them at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
