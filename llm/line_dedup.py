@@ -30,6 +30,8 @@ from .textkernel import U64, Words, buffers, distinct_flat, mix64, slices, windo
 
 #: Prefixes are longer by this part of a set, and linked sets share that much more of them.
 PART = 16
+#: Sets, and tokens, of one side of a block pair.
+BLOCK_SETS, BLOCK_TOKENS = 1500, 500_000
 
 
 def line_windows(batch: pa.RecordBatch, width: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +165,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = saved(candidate_groups(d.mapInArrow(lean(postings), PACKED), percent, PART))
     known = likely(first, "s1", groups.select("id"))
     classes = saved(known.join(groups, F.col("s1") == F.col("id")).drop("id"))
-    pairs, units = blocks(classes, "s1")
+    pairs, partitions = blocks(classes, "s1", BLOCK_SETS, BLOCK_TOKENS)
 
     def places(batches):
         for b in batches:
@@ -197,7 +199,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             give_back()
         return rows.select(["doc_id", "line"]).take(pa.array(out, pa.int64()))
 
-    matched = saved(pairs.join(sets, ["doc_id", "line"]).repartition(units, "bin", "pair").groupBy("bin", "pair").applyInArrow(compare, "doc_id long, line int"))
+    matched = saved(pairs.join(sets, ["doc_id", "line"]).repartition(partitions, "bin", "pair").groupBy("bin", "pair").applyInArrow(compare, "doc_id long, line int"))
     discard(groups, classes)
     return copies.union(matched).distinct()
 

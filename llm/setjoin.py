@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import components, discard, give_back, merged, saved
+from .shared import components, discard, give_back, saved
 from .textkernel import U64, mix64
 
 CELL_BITS = 20
@@ -34,11 +34,10 @@ SALT_MASK = (1 << SALT_BITS) - 1
 HOT_TIMES, PART_TOKENS = 16, 1_000_000
 #: Postings of a bucket, and buckets at least: also so many that a bucket's task is small against the rest.
 BUCKET_TOKENS, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 256, 1 << 22
-#: Sets, and tokens, of one side of a block pair.
-BLOCK_SETS, BLOCK_TOKENS = 500, 500_000
-#: Partitions at most that block pairs are dealt out to, one by one.
-MOST_UNITS = 100_000
-FILTER_BITS = 25
+#: Partitions at most that block pairs are dealt out to.
+MOST_PARTITIONS = 100_000
+#: Bits of a bitmap of ids, as powers of two.
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 16, 28
 
 
 def least_overlap(n, percent: int):
@@ -272,17 +271,17 @@ def candidate_groups(packed: DataFrame, percent: int, part: int) -> DataFrame:
     return found
 
 
-def blocks(members: DataFrame, order: str) -> tuple[DataFrame, int]:
-    """Adds bin and pair to members (group, n, order, ...), which name the unit of work that compares a member with others; and how many units there are.
+def blocks(members: DataFrame, order: str, most_sets: int, most_tokens: int) -> tuple[DataFrame, int]:
+    """Adds bin and pair to members (group, n, order, ...), which name the unit of work that compares a member with others; and a number of partitions.
 
-    Small groups share bins, as their members cannot link with each other's.  Large groups are dealt into blocks, and a member is
+    A side of a pair of blocks has about most_sets sets, and tokens, at most.  Small groups share bins, as their members cannot link with each other's.  Large groups are dealt into blocks, and a member is
     repeated for each pair of blocks that its own is in: side is its block within the pair, inside whether this pair is the one that
     compares the members of that block with each other.  Members of a group with one member are left out.
     """
     size = members.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1")
     all_sets, all_tokens = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bins = 1 << max(0, int(max(all_sets // BLOCK_SETS, all_tokens // BLOCK_TOKENS)).bit_length())
-    parts = F.greatest(F.ceil(F.col("sets") / (2 * BLOCK_SETS)), F.ceil(F.col("tokens") / (2 * BLOCK_TOKENS)))
+    bins = 1 << max(0, int(max(all_sets // most_sets, all_tokens // most_tokens)).bit_length())
+    parts = F.greatest(F.ceil(F.col("sets") / (2 * most_sets)), F.ceil(F.col("tokens") / (2 * most_tokens)))
     parts = F.when(parts > 1, 2 * parts).otherwise(parts).cast("int")
     pairs = size.agg(F.coalesce(F.sum(parts.cast("long") * (parts - 1) / 2), F.lit(0)).cast("long")).first()[0]
     m = members.join(size, F.col("group") == F.col("g")).drop("g")
@@ -295,28 +294,44 @@ def blocks(members: DataFrame, order: str) -> tuple[DataFrame, int]:
     m = m.withColumn("bin", F.when(small, F.pmod(F.xxhash64("group"), F.lit(bins))).otherwise(F.col("group")))
     m = m.withColumn("pair", F.when(small, F.lit(-1)).otherwise(low * F.lit(1 << 20) + high))
     m = m.withColumn("side", (F.col("own") > F.col("other")).cast("int")).withColumn("inside", small | home)
-    return m.drop("parts", "own", "other", "group"), min(bins + pairs, MOST_UNITS)
+    return m.drop("parts", "own", "other", "group"), min((bins + pairs) // 2 + 1, MOST_PARTITIONS)
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of the hashed ids (id), of 2^FILTER_BITS bits whatever their number: it only saves work, joins decide."""
+    """A bitmap of the hashed ids (id) that are not null, of 16 bits for each id within bounds: it only saves work, joins decide.
 
-    def make(batches):
-        bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    ids is read twice.  They travel by slice of the bitmap, so the shuffle follows their number; the driver gets the bitmap.
+    """
+    bits = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, (16 * ids.count()).bit_length()))
+    low = bits - SLICES.bit_length() + 1
+
+    def cells(batches):
+        for b in batches:
+            cell = np.unique(filter_cell(np.asarray(b.column(0).drop_null(), np.int64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((cell >> low).astype(np.int32)), pa.array((cell & ((1 << low) - 1)).astype(np.int32))], ["k", "cell"])
+
+    def slices_of(batches):
+        parts: dict[int, np.ndarray] = {}
         for b in batches:
-            cell = filter_cell(np.asarray(b.column(0), np.int64))
-            np.bitwise_or.at(bits, cell >> 3, (128 >> (cell & 7)).astype(np.uint8))
-        return bits
+            k, cell = (np.asarray(b.column(c)) for c in ("k", "cell"))
+            for own in np.unique(k).tolist():
+                at = cell[k == own]
+                np.bitwise_or.at(parts.setdefault(own, np.zeros(1 << low - 3, np.uint8)), at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], ["k", "part"])
 
-    return merged(ids.select(F.col("id").cast("long").alias("id")), make, 1 << FILTER_BITS - 3, "u1", np.bitwise_or)
+    dealt = ids.select(F.col("id").cast("long").alias("id")).mapInArrow(cells, "k int, cell int").repartition(SLICES, "k")
+    out = np.zeros((SLICES, 1 << low - 3), np.uint8)
+    for k, part in dealt.mapInArrow(slices_of, "k int, part binary").collect():
+        out[k] = np.frombuffer(part, np.uint8)
+    return out.ravel()
 
 
-def filter_cell(ids: np.ndarray) -> np.ndarray:
-    return (mix64(ids.view(U64)) >> U64(64 - FILTER_BITS)).astype(np.int64)
+def filter_cell(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(ids.view(U64)) >> U64(64 - bits)).astype(np.int64)
 
 
 def in_filter(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    cell = filter_cell(ids)
+    cell = filter_cell(ids, (8 * len(packed)).bit_length() - 1)
     return (packed[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
 
 

@@ -1,4 +1,4 @@
-"""Spark helpers of the operators: saved stages, merged fixed-size arrays, connected components."""
+"""Spark helpers of the operators: saved stages, bounded batches, samples of training rows, connected components."""
 
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a batch that goes to a Python worker: operators on texts and vectors hold a few of them at a time.
 BATCH_BYTES = 1 << 20
+#: Edges that one task labels at the end of connected components.
+LAST_EDGES = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,7 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
 def small_batches(spark: SparkSession) -> None:
     """Bounds the session's Arrow batches by bytes: rows may hold long texts, so their number says little."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)i?b?\s*", spark.conf.get(key).lower()).groups()
+    if int(number) << 10 * " kmgtp".index(unit or " ") > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
@@ -81,35 +84,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def merged(df: DataFrame, make, size: int, dtype: str, combine, slices: int = 64) -> np.ndarray:
-    """One array of the fixed length size from all partitions.
-
-    make(batches) gives a partition's array.  Slices of it are combined by a reducer each, so that no task sees more than
-    its slice of every partition's array; the driver gets size elements, however large the input.
-    """
-    step = -(-size // slices)
-
-    def partial(batches):
-        array = make(batches)
-        for k in range(slices):
-            part = array[k * step : (k + 1) * step]
-            if len(part) and part.any():
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "part": pa.array([part.tobytes()], pa.binary())})
-
-    def reduce(key, rows):
-        total = None
-        for part in rows.column("part"):
-            part = np.frombuffer(part.as_buffer(), dtype)
-            total = part.copy() if total is None else combine(total, part)
-        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
-
-    found = df.mapInArrow(partial, "k int, part binary").groupBy("k").applyInArrow(reduce, "k int, part binary").collect()
-    out = np.zeros(size, dtype)
-    for k, part in found:
-        out[k * step : k * step + len(part) // out.itemsize] = np.frombuffer(part, dtype)
-    return out
-
-
 def hashed_rows(df: DataFrame, key: str, id_col: str, rows: int) -> DataFrame:
     """(id, key, h) of about `rows` rows, seldom more, for each value of key that is not null: those whose hash h of the id is low enough.
 
@@ -122,28 +96,47 @@ def hashed_rows(df: DataFrame, key: str, id_col: str, rows: int) -> DataFrame:
     return known.join(counts, F.col(key) == F.col("__key")).filter(unit * F.col("__n") <= limit).select(id_col, key, F.xxhash64(id_col).alias("h")).distinct()
 
 
+def _labels(batches: Iterator) -> Iterator:
+    """(u, to) of the nodes of a few edges (u, v): the smallest node that each is connected with."""
+    edges = [np.stack([np.asarray(b.column(c), np.int64) for c in ("u", "v")]) for b in batches]
+    nodes, at = np.unique(np.concatenate([*edges, np.zeros((2, 0), np.int64)], axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while (label[a] != label[b]).any():
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label != label[label]).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["u", "to"])
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected graph: (node, component), component being the smallest node of its component.
 
     Each round moves every node to the neighbour that comes first in a random order and contracts the edges, which leaves a
-    constant fraction of the nodes; the moves are then followed back.  Nodes of any degree are aggregated with partial sums or met
-    in plain joins of two saved tables, which Spark splits where a key is skewed.  Loops (a, a) are allowed and give single nodes.
+    constant fraction of the nodes; once at most LAST_EDGES are left, one task labels what they connect; the moves are then followed
+    back.  Nodes of any degree are aggregated with partial sums or met in plain joins of two saved tables, which Spark splits where a key
+    is skewed.  Loops (a, a) are allowed and give single nodes.
     """
     rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
-    now = saved(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).distinct())
+    now = saved(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u IS NOT NULL AND v IS NOT NULL").distinct())
     nodes = saved(now.select("u").union(now.select("v")).distinct())
     moves, now_table = [], now
     now = now.filter("u <> v")
-    while not now.isEmpty():
+    while (left := now.count()) > LAST_EDGES:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least(rank("u"), rank("v"))).alias("m")).select("u", F.col("m.v").alias("to"))
         least = saved(least)
         moves.append(least)
-        left = now.join(least.withColumnRenamed("to", "tu"), "u").select("tu", "v")
-        now = left.join(least.select(F.col("u").alias("v"), F.col("to").alias("tv")), "v").filter("tu <> tv").select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).distinct()
+        moved = now.join(least.withColumnRenamed("to", "tu"), "u").select("tu", "v")
+        now = moved.join(least.select(F.col("u").alias("v"), F.col("to").alias("tv")), "v").filter("tu <> tv").select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).distinct()
         now, done = saved(now), now_table
         discard(done)
         now_table = now
+    if left:
+        moves.append(saved(now.coalesce(1).mapInArrow(_labels, "u long, to long")))
+    discard(now_table)
     root = None
     for least in reversed(moves):
         if root is None:

@@ -49,7 +49,11 @@ def prefix(x, order, percent, part):
     return prefixes(x, np.array([0, len(x)]), order, percent, part)[0]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last", [0, 40, 200_000])
+def test_components(spark, monkeypatch, last):
+    from llm import shared
+
+    monkeypatch.setattr(shared, "LAST_EDGES", last)
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(100)] + [(5000, 5000)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
@@ -360,3 +364,61 @@ def test_smaller_partner_is_not_pruned(spark):
     packed = [tuple(r.values()) for _, b in rows for r in b.to_pylist()]
     got = {r.id: r.group for r in candidate_groups(spark.createDataFrame(packed, PACKED), 80, 8).collect()}
     assert got == {i: i // 10 * 10 for i, *_ in rows}
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from llm.shared import BATCH_BYTES, small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, left in (("64m", str(BATCH_BYTES)), ("67108864b", str(BATCH_BYTES)), ("1g", str(BATCH_BYTES)), ("100k", "100k"), ("5000", "5000")):
+            spark.conf.set(key, given)
+            small_batches(spark)
+            assert spark.conf.get(key) == left
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_saved_tables_leave_no_shuffle_files_and_discard_goes(spark):
+    from pyspark.sql import functions as F
+
+    from llm.shared import discard, saved
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    table = saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert table.count() == 7 and spark.conf.get(key, None) in (None, "false")
+    discard(table)
+    with pytest.raises(Exception, match="(?i)not.exist|not found|FILE_NOT_EXIST"):
+        table.collect()
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from llm.shared import shared_folder
+
+    class Session:
+        class sparkContext:
+            master = "yarn"
+
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+        class conf:
+            @staticmethod
+            def get(*_):
+                return None
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Session)
+
+
+def test_filter_holds_all_ids_and_few_others(spark):
+    from llm.setjoin import id_filter, in_filter
+
+    ids = [k * 977 for k in range(3000)] + [-5, None, 7, 7]
+    packed = id_filter(spark.createDataFrame([(k,) for k in ids], "id long"))
+    assert in_filter(packed, np.array([k for k in ids if k is not None])).all()
+    others = np.arange(10**9, 10**9 + 20000)
+    assert in_filter(packed, others).mean() < 0.15
+    assert not in_filter(id_filter(spark.createDataFrame([], "id long")), others).any()
