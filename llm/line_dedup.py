@@ -167,12 +167,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = saved(known.join(groups, F.col("s1") == F.col("id")).drop("id"))
     pairs, partitions = blocks(classes, "s1", BLOCK_SETS, BLOCK_TOKENS)
 
-    def places(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"id": pa.array(_place(np.asarray(b.column(0), np.int64), np.asarray(b.column(1), np.int64)))})
-
-    lines = classes.select("doc_id", "line")
-    wanted = context.broadcast((id_filter(classes.select(F.col("doc_id").alias("id"))), id_filter(lines.mapInArrow(places, "id long"))))
+    places = lambda b: _place(*(np.asarray(b.column(c), np.int64) for c in ("doc_id", "line")))
+    wanted = context.broadcast((id_filter(classes.select(F.col("doc_id").alias("id"))), id_filter(classes.select("doc_id", "line"), places)))
 
     def fetch(batches):
         texts, spots = wanted.value

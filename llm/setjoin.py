@@ -14,6 +14,7 @@ one; large ones are dealt out in pairs of blocks of bounded size.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -297,17 +298,20 @@ def blocks(members: DataFrame, order: str, most_sets: int, most_tokens: int) ->
     return m.drop("parts", "own", "other", "group"), min((bins + pairs) // 2 + 1, MOST_PARTITIONS)
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of the hashed ids (id) that are not null, of 16 bits for each id within bounds: it only saves work, joins decide.
+def id_filter(ids: DataFrame, name: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> np.ndarray:
+    """A bitmap of the hashed ids (id) that are not null, of 16 bits for each row within bounds: it only saves work, joins decide.
 
-    ids is read twice.  They travel by slice of the bitmap, so the shuffle follows their number; the driver gets the bitmap.
+    With name, that gives the ids of a batch of rows.  ids is read twice.  They travel by slice of the bitmap, so the shuffle follows their
+    number; the driver gets the bitmap.
     """
     bits = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, (16 * ids.count()).bit_length()))
     low = bits - SLICES.bit_length() + 1
+    rows = ids if name else ids.select(F.col("id").cast("long").alias("id"))
+    name = name or (lambda b: np.asarray(b.column(0).drop_null(), np.int64))
 
     def cells(batches):
         for b in batches:
-            cell = np.unique(filter_cell(np.asarray(b.column(0).drop_null(), np.int64), bits))
+            cell = np.unique(filter_cell(name(b), bits))
             yield pa.RecordBatch.from_arrays([pa.array((cell >> low).astype(np.int32)), pa.array((cell & ((1 << low) - 1)).astype(np.int32))], ["k", "cell"])
 
     def slices_of(batches):
@@ -319,7 +323,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
                 np.bitwise_or.at(parts.setdefault(own, np.zeros(1 << low - 3, np.uint8)), at >> 3, (128 >> (at & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], ["k", "part"])
 
-    dealt = ids.select(F.col("id").cast("long").alias("id")).mapInArrow(cells, "k int, cell int").repartition(SLICES, "k")
+    dealt = rows.mapInArrow(cells, "k int, cell int").repartition(SLICES, "k")
     out = np.zeros((SLICES, 1 << low - 3), np.uint8)
     for k, part in dealt.mapInArrow(slices_of, "k int, part binary").collect():
         out[k] = np.frombuffer(part, np.uint8)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a batch that goes to a Python worker: operators on texts and vectors hold a few of them at a time.
 BATCH_BYTES = 1 << 20
+#: Values of a label whose counts are sent to all tasks.
+MOST_LABELS = 10_000
 #: Edges that one task labels at the end of connected components.
 LAST_EDGES = 200_000
 
@@ -87,10 +89,14 @@ def discard(*tables: DataFrame) -> None:
 def hashed_rows(df: DataFrame, key: str, id_col: str, rows: int) -> DataFrame:
     """(id, key, h) of about `rows` rows, seldom more, for each value of key that is not null: those whose hash h of the id is low enough.
 
-    A value's count sets its limit, so nothing is ranked; values of a label are few, and only their counts are joined.
+    A value's count sets its limit, so nothing is ranked.  Counts are sent to all tasks if there are at most MOST_LABELS of them, so that
+    no row moves but those of the sample; else they are joined.
     """
     known = df.select(id_col, key).filter(F.col(key).isNotNull() & F.col(id_col).isNotNull())
     counts = known.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n"))
+    few = counts.limit(MOST_LABELS + 1).collect()
+    if len(few) <= MOST_LABELS:
+        counts = F.broadcast(df.sparkSession.createDataFrame(few, counts.schema))
     unit = F.pmod(F.xxhash64(id_col), F.lit(1 << 31)) / float(1 << 31)
     limit = max(1.0, rows - 2 * rows**0.5)
     return known.join(counts, F.col(key) == F.col("__key")).filter(unit * F.col("__n") <= limit).select(id_col, key, F.xxhash64(id_col).alias("h")).distinct()

@@ -422,3 +422,20 @@ def test_filter_holds_all_ids_and_few_others(spark):
     others = np.arange(10**9, 10**9 + 20000)
     assert in_filter(packed, others).mean() < 0.15
     assert not in_filter(id_filter(spark.createDataFrame([], "id long")), others).any()
+
+
+@pytest.mark.parametrize("most", [10_000, 1])
+def test_samples_are_alike_however_counts_travel(spark, monkeypatch, most):
+    from llm import shared
+
+    monkeypatch.setattr(shared, "MOST_LABELS", most)
+    rows = [(k, (None, "a", "b", "b", "b")[k % 5]) for k in range(2000)] + [(1, "a"), (None, "b")]
+    frame = spark.createDataFrame(rows, "id long, label string")
+    got = shared.hashed_rows(frame, "label", "id", 100).collect()
+    count = Counter(r.label for r in got)
+    assert set(count) == {"a", "b"} and all(50 < n < 130 for n in count.values()) and len({(r.id, r.label) for r in got}) == len(got)
+    highest = {x: max(r.h % (1 << 31) for r in got if r.label == x) for x in count}
+    sampled = {(r.id, r.label) for r in got}
+    by_id = {r.id: r.h for r in got}
+    assert all(by_id[i] % (1 << 31) <= highest[x] for i, x in sampled)
+    assert shared.hashed_rows(frame.limit(0), "label", "id", 100).collect() == []
