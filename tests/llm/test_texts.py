@@ -40,7 +40,7 @@ TEXTS = ["", "a", " a", "a ", "a  b", "a\n\nb", "a \nb\n c", "don't we'll\tgo",
 
 
 @pytest.mark.parametrize("text", TEXTS)
-def test_units_encode_as_the_library(text):
+def test_texts_encode_as_the_library(text):
     t = Tokenizer.from_file(PATH)
     assert np.frombuffer(bestfit_packing.encoder(PATH)(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
     t.encode_special_tokens = True
