@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .setjoin import PACKED, CellCounts, Seen, binary_sets, blocks, by_rarity, candidate_groups, id_filter, in_filter, least_overlap, likely, pack, pair_overlap, prefixes, rarity, signatures, unpack_sets
+from .setjoin import PACKED, CellCounts, Seen, binary_sets, blocks, by_rarity, candidate_groups, compared, id_filter, in_filter, least_overlap, likely, pack, pair_overlap, prefixes, rarity, refined, signatures, unpack_sets
 from .shared import discard, give_back, lean, saved, small_batches
 from .textkernel import U64, Words, buffers, distinct_flat, mix64, slices, windows
 
-#: Prefixes are longer by this part of a set, and linked sets share that much more of them.
-PART = 16
+#: Prefixes are longer by this part of a set, and linked sets share that much more of them; the second, where large groups are refined.
+PART, FINER_PART = 16, 6
 #: Sets, and tokens, of one side of a block pair.
 BLOCK_SETS, BLOCK_TOKENS = 1500, 500_000
 
@@ -165,22 +165,43 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = saved(candidate_groups(d.mapInArrow(lean(postings), PACKED), percent, PART))
     known = likely(first, "s1", groups.select("id"))
     classes = saved(known.join(groups, F.col("s1") == F.col("id")).drop("id"))
-    pairs, partitions = blocks(classes, "s1", BLOCK_SETS, BLOCK_TOKENS)
-
     places = lambda b: _place(*(np.asarray(b.column(c), np.int64) for c in ("doc_id", "line")))
-    wanted = context.broadcast((id_filter(classes.select(F.col("doc_id").alias("id"))), id_filter(classes.select("doc_id", "line"), places)))
+
+    def leads(members):
+        """Of batches of documents: ids, lines and tokens by line of the lines where members stand, and a few others."""
+        wanted = context.broadcast((id_filter(members.select(F.col("doc_id").alias("id"))), id_filter(members.select("doc_id", "line"), places)))
+
+        def lines_of(batches):
+            texts, spots = wanted.value
+            for batch in batches:
+                mine = in_filter(texts, np.asarray(batch.column("d"), np.int64))
+                for b in slices(batch.filter(pa.array(mine)), "t"):
+                    h, at, by_text, _ = line_windows(b, width)
+                    full = np.flatnonzero(np.diff(at) > 0)
+                    ids, lines = _where(b, by_text, full)
+                    hit = np.flatnonzero(in_filter(spots, _place(ids, lines)))
+                    yield ids[hit], lines[hit], [np.unique(h[at[k] : at[k + 1]]) for k in full[hit]]
+
+        return lines_of
+
+    def read(members):
+        lines_of = leads(members)
+
+        def sets_of(batches):
+            for _, _, sets in lines_of(batches):
+                tokens, own = np.concatenate([np.zeros(0, U64), *sets]), np.cumsum([0, *map(len, sets)])
+                yield signatures(tokens, own)[0], tokens, own
+
+        return d, sets_of
+
+    classes = refined(classes, "s1", read, percent, FINER_PART, BLOCK_SETS, BLOCK_TOKENS)
+    pairs, partitions = blocks(classes, "s1", BLOCK_SETS, BLOCK_TOKENS, percent)
+    lines_of = leads(classes)
 
     def fetch(batches):
-        texts, spots = wanted.value
-        for batch in batches:
-            mine = in_filter(texts, np.asarray(batch.column("d"), np.int64))
-            for b in slices(batch.filter(pa.array(mine)), "t"):
-                h, at, by_text, _ = line_windows(b, width)
-                full = np.flatnonzero(np.diff(at) > 0)
-                ids, lines = _where(b, by_text, full)
-                hit = np.flatnonzero(in_filter(spots, _place(ids, lines)))
-                sets = [by_rarity(np.unique(h[at[k] : at[k + 1]]), order.value.level) for k in full[hit]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(lines[hit], pa.int32()), binary_sets(sets)], ["doc_id", "line", "tokens"])
+        for ids, lines, sets in lines_of(batches):
+            ranked = [by_rarity(x, order.value.level) for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.int32()), binary_sets(ranked)], ["doc_id", "line", "tokens"])
 
     sets = d.mapInArrow(lean(fetch), "doc_id long, line int, tokens binary")
 
@@ -195,7 +216,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             give_back()
         return rows.select(["doc_id", "line"]).take(pa.array(out, pa.int64()))
 
-    matched = saved(pairs.join(sets, ["doc_id", "line"]).repartition(partitions, "bin", "pair").groupBy("bin", "pair").applyInArrow(compare, "doc_id long, line int"))
+    every = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    matched = compared(pairs, sets, ["doc_id", "line"], partitions, every, compare, "doc_id long, line int")
     discard(groups, classes)
     return copies.union(matched).distinct()
 

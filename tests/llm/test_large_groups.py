@@ -81,3 +81,10 @@ def test_large_groups_of_documents_keep_all_links(spark, rounds):
             label[a] = label[b] = min(label[a], label[b])
     assert {r.doc_id: r.component_id for r in ngram_jaccard.join(docs).collect()} == dict(enumerate(label))
     assert rounds
+
+
+def test_large_groups_of_lines_keep_all_matches(spark, rounds):
+    texts = near_texts(random.Random(3))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.repeated_lines(docs, short=True).collect()} == {b for _, b in links_of(texts)}
+    assert rounds
