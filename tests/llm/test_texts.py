@@ -603,6 +603,16 @@ def test_wrapper_decides_on_hosts_without_article_marks(spark):
     assert changed == len(rows)
 
 
+def test_template_goes_from_marked_articles_too(spark):
+    """Slots of an article are judged over all pages of the layout; links in it and texts that vary stay."""
+    own = lambda k: [f"Opening line {k} of this story.", *(f"Line {k}-{j} goes on and on." for j in range(k % 3)), f"More on {k}"]
+    page = lambda k: "<html><body><nav>Menu</nav><article><p>Read by our own staff.</p>" + "".join(f"<p>{x}</p>" for x in own(k)[:-1]) + f'<div><a href="/{k}">{own(k)[-1]}</a></div></article></body></html>'
+    rows = [(k, "http://m.example/x", page(k)) for k in range(40)] + [(90, "http://two.example/x", page(1)), (91, "http://two.example/x", page(2))]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "\n".join(own(k)) for k in range(40))
+    assert got[90] == "\n".join(["Read by our own staff.", *own(1)])
+
+
 def test_near_copies_of_one_page_have_no_template(spark):
     text = [f"Sentence {j} of the only page." for j in range(20)]
     rows = [(k, "http://c.example/", "<body>" + "".join(f"<p>{x if j != k else 'edited'}</p>" for j, x in enumerate(text)) + "</body>") for k in range(12)]
