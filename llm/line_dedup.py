@@ -196,14 +196,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     classes = refined(classes, "s1", read, percent, FINER_PART, BLOCK_SETS, BLOCK_TOKENS)
     pairs, partitions = blocks(classes, "s1", BLOCK_SETS, BLOCK_TOKENS, percent)
-    lines_of = leads(classes)
 
-    def fetch(batches):
-        for ids, lines, sets in lines_of(batches):
-            ranked = [by_rarity(x, order.value.level) for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.int32()), binary_sets(ranked)], ["doc_id", "line", "tokens"])
+    def sets_of(members):
+        lines_of = leads(members)
+
+        def fetch(batches):
+            for ids, lines, sets in lines_of(batches):
+                by_level = [by_rarity(x, order.value.level) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.int32()), binary_sets(by_level)], ["doc_id", "line", "tokens"])
 
-    sets = d.mapInArrow(lean(fetch), "doc_id long, line int, tokens binary")
+        return d.mapInArrow(lean(fetch), "doc_id long, line int, tokens binary")
 
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("doc_id", "ascending"), ("line", "ascending")])
@@ -216,10 +218,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             give_back()
         return rows.select(["doc_id", "line"]).take(pa.array(out, pa.int64()))
 
-    every = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    matched = compared(pairs, sets, ["doc_id", "line"], partitions, every, compare, "doc_id long, line int")
-    discard(groups, classes)
-    return copies.union(matched).distinct()
+    matched = compared(pairs, classes, sets_of, ["doc_id", "line"], partitions, order.value.tokens, compare, "doc_id long, line int")
+    out = saved(copies.union(matched).distinct())
+    discard(groups, classes, ranked, table)
+    return out
 
 
 def _where(batch: pa.RecordBatch, by_text: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

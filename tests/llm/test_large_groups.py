@@ -88,3 +88,38 @@ def test_large_groups_of_lines_keep_all_matches(spark, rounds):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in line_dedup.repeated_lines(docs, short=True).collect()} == {b for _, b in links_of(texts)}
     assert rounds
+
+
+@pytest.mark.parametrize("each", [1, 10**9])
+def test_waves_hold_a_bounded_part_of_the_sets(spark, monkeypatch, each):
+    """However many classes there are, a wave reads and repeats only its own share of the table's tokens."""
+    members = spark.createDataFrame([(k, 100, k // 4) for k in range(400)], "id long, n long, group long")
+    pairs = members.selectExpr("id", "n", "group AS bin", "-1L AS pair", "0 AS side", "true AS inside")
+    monkeypatch.setattr(setjoin, "WAVE_TOKENS", 1)
+    monkeypatch.setattr(setjoin, "SETS_TOKENS", 1)
+    asked = []
+
+    def read(some):
+        asked.append(sorted(r.id for r in some.select("id").collect()))
+        return members.selectExpr("id", "cast('x' AS binary) AS tokens")
+
+    compare = lambda t: t.select(["id"]).rename_columns(["a"])
+    got = setjoin.compared(pairs, members, read, ["id"], 4, 4 * 4000 if each == 1 else each, compare, "a long").collect()
+    assert sorted(r.a for r in got) == list(range(400)) == sorted(x for ids in asked for x in ids)
+    assert (len(asked) == 10 and max(map(len, asked)) < 120) if each == 1 else len(asked) == 1
+
+
+def test_set_joins_leave_only_small_tables(spark):
+    """What a set join has saved goes with it but for what its result is read from, so the next stage of a pipeline has the disk."""
+    from pathlib import Path
+
+    from llm.shared import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    texts = near_texts(random.Random(5))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for work in (line_dedup.dedup, ngram_jaccard.join):
+        before = set(folder.iterdir())
+        assert work(docs).count() == len(texts)
+        left = {c for p in set(folder.iterdir()) - before for c in spark.read.parquet(str(p)).columns if next(p.glob("*.parquet"), None)}
+        assert not left & {"s1", "s2", "part", "tokens", "token"}
