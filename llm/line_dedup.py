@@ -25,7 +25,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .setjoin import PACKED, CellCounts, Seen, binary_sets, blocks, by_rarity, candidate_groups, compared, id_filter, in_filter, least_overlap, likely, pack, pair_overlap, prefixes, rarity, refined, signatures, unpack_sets
-from .shared import discard, give_back, lean, saved, small_batches
+from .shared import discard, give_back, lean, small_batches
+from .shared import saved_in_python as saved
 from .textkernel import U64, Words, buffers, distinct_flat, mix64, slices, windows
 
 #: Prefixes are longer by this part of a set, and linked sets share that much more of them; the second, where large groups are refined.
